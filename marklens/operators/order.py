@@ -244,6 +244,32 @@ def rank_by_key(
     return out.withColumn(rank, F.col("_before") + F.col("_rn")).drop("_b", "_rn", "_before", "_all")
 
 
+def select_by_key(
+    df: DataFrame, key: str, unique: str, size: Column, partition: list[str], digits: int = 3
+) -> DataFrame:
+    """Rows with the ``size`` smallest keys per group; ``size`` may use ``group_n``.
+
+    Only per-bucket counts and the rows of one boundary bucket per group are shuffled.
+    """
+    keyed = df.withColumn("_b", F.substring(key, 1, digits))
+    counts = keyed.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*partition).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_cum", F.sum("_n").over(upto)).withColumn(
+        "group_n", F.sum("_n").over(Window.partitionBy(*partition))
+    ).withColumn("_k", size)
+    # the bucket that holds the k-th row; with k = 0 no bucket does and nothing is selected
+    edge = counts.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_n") < F.col("_k"))).select(
+        *partition, F.col("_b").alias("_edge"), (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_rest"),
+        "group_n", F.col("_k").alias("queue_size"),
+    )
+    joined = _join_on(keyed, edge, partition)
+    sure = joined.where(F.col("_b") < F.col("_edge"))
+    local = Window.partitionBy(*partition).orderBy(key, unique)
+    border = joined.where(F.col("_b") == F.col("_edge")).withColumn("_rn", F.row_number().over(local))
+    border = border.where(F.col("_rn") <= F.col("_rest")).drop("_rn")
+    return sure.unionByName(border).drop("_b", "_edge", "_rest")
+
+
 def budget_size(n: str | Column, budget: float | Column) -> Column:
     """``ceil(n * budget)`` in double arithmetic."""
     share = budget if isinstance(budget, Column) else F.lit(float(budget))

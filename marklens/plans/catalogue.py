@@ -1,5 +1,6 @@
 """Imports every plan module, which registers its queries."""
 
 from marklens.plans import (  # noqa: F401
+    metric_queries,
     scalar_queries,
 )
