@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marklens.operators.order import _join_on, quantiles, with_row
 
@@ -16,6 +17,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _key(field: T.StructField) -> Column:
+    """Texts are counted by their hash, so that only hashes are shuffled."""
+    return F.sha2(field.name, 256) if isinstance(field.dataType, T.StringType) else F.col(field.name)
+
+
 def column_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Type, non-null, missing and distinct count per column: one aggregate per table."""
     parts = []
@@ -25,7 +31,7 @@ def column_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
                 F.struct(F.lit(source).alias("source"), F.lit(f.name).alias("column_name"),
                          F.lit(f.dataType.simpleString()).alias("dtype"), F.count(f.name).alias("non_null"),
                          (F.count(F.lit(1)) - F.count(f.name)).alias("missing"),
-                         F.count_distinct(f.name).alias("distinct_values"))
+                         F.count_distinct(_key(f)).alias("distinct_values"))
                 for f in df.schema.fields
             ]
         )

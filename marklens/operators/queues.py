@@ -156,3 +156,61 @@ def subgroup_random_capture(
     out = totals.join(hits, ["attribute", "grp"], "left")
     rate = F.try_divide(F.coalesce("_hits", F.lit(0)).cast("double"), F.col("positives") * F.lit(draws).cast("double"))
     return out.select("attribute", "grp", "n", "positives", rate.alias("mean_capture"))
+
+
+def top_per_group(df: DataFrame, by: Sequence[str], score: Column, key: str, k: int) -> DataFrame:
+    """The ``k`` highest rows per group, ties by key; ``k`` is a small report size.
+
+    A salted first pass keeps ``k`` rows per (group, salt), so a hot group is never one task.
+    """
+    from pyspark.sql import Window
+
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    first = Window.partitionBy(*by, "_salt").orderBy(score.desc(), F.col(key))
+    best = salted.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k).drop("_salt")
+    last = Window.partitionBy(*by).orderBy(score.desc(), F.col(key))
+    return best.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= k).drop("_k")
+
+
+def prioritise(df: DataFrame, budget: float, threshold: float) -> DataFrame:
+    """Nested batch result: scores, disagreement, reasons, rank and ``review_first``.
+
+    A zero budget selects nothing and an empty input gives an empty result.
+    """
+    from marklens.functions.scalars import consensus, reasons
+    from marklens.operators.signals import add_signals
+
+    if not (isinstance(budget, (int, float)) and 0 <= budget <= 1):
+        raise ValueError("review budget must be a number in [0, 1]")
+    s = add_signals(df.select("item_id", "y_v", "y_g", "lin_v", "lin_g", "for_v", "for_g"))
+    ranked = rank_rows(s.select("item_id", "lin_v", "lin_g", "for_v", "for_g", "d_v", "d_g", "d_max"), [F.desc("d_max"), "item_id"])
+    side = lambda t: F.struct(
+        F.col(f"lin_{t}").alias("linear"), F.col(f"for_{t}").alias("forest"),
+        consensus(F.col(f"lin_{t}"), F.col(f"for_{t}")).alias("consensus"),
+    )
+    return ranked.select(
+        "item_id",
+        F.struct(side("v").alias("vocabulary"), side("g").alias("grammar")).alias("scores"),
+        F.struct(F.col("d_v").alias("vocabulary"), F.col("d_g").alias("grammar"), F.col("d_max").alias("maximum")).alias("disagreement"),
+        reasons({"vocabulary": F.col("d_v") >= threshold, "grammar": F.col("d_g") >= threshold}).alias("reasons"),
+        "rank", (F.col("rank") <= budget_size("group_n", budget)).alias("review_first"),
+    )
+
+
+def best_strategies(metrics: DataFrame) -> DataFrame:
+    """Highest capture rate with every strategy that reaches it (one row per strategy goes in)."""
+    best = metrics.agg(F.max("capture_rate").alias("best_capture"))
+    rows = with_row(metrics, best).where(F.col("capture_rate") == F.col("best_capture"))
+    return rows.groupBy("best_capture").agg(F.array_join(F.array_sort(F.collect_list("strategy")), ",").alias("strategies"))
+
+
+def quadrant_shares(df: DataFrame) -> DataFrame:
+    """Large/other against below / at-or-above the median disagreement, as counts and row shares."""
+    from pyspark.sql import Window
+
+    s = with_row(df, quantiles(df, "d_max", {"_m": 0.5}))
+    g = F.when(F.col("d_max") < F.col("_m"), "below").otherwise("at_or_above")
+    counts = s.groupBy("large", g.alias("d_group")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("large")  # two rows each
+    counts = counts.withColumn("row_total", F.sum("n").over(w))
+    return counts.withColumn("fraction", F.col("n") / F.col("row_total"))

@@ -1,6 +1,8 @@
 """Imports every plan module, which registers its queries."""
 
 from marklens.plans import (  # noqa: F401
+    drift_queries,
     metric_queries,
+    ranking_queries,
     scalar_queries,
 )

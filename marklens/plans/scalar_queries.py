@@ -188,8 +188,7 @@ def _c17(spark, sf):
     with_views(
         "signals",
         """SELECT item_id, d_v >= 0.5 OR d_g >= 0.5 AS flagged,
-        list_filter([CASE WHEN d_v >= 0.5 THEN 'vocabulary_disagreement' END, CASE WHEN d_g >= 0.5 THEN 'grammar_disagreement' END],
-        lambda x: x IS NOT NULL) AS reasons FROM signals""",
+        concat_ws(',', CASE WHEN d_v >= 0.5 THEN 'vocabulary_disagreement' END, CASE WHEN d_g >= 0.5 THEN 'grammar_disagreement' END) AS reasons FROM signals""",
     ),
 )
 def _c18(spark, sf):
@@ -197,7 +196,7 @@ def _c18(spark, sf):
         "reasons",
         S.reasons({"vocabulary_disagreement": c("d_v") >= 0.5, "grammar_disagreement": c("d_g") >= 0.5}),
     )
-    return s.select("item_id", (F.size("reasons") > 0).alias("flagged"), "reasons")
+    return s.select("item_id", (F.size("reasons") > 0).alias("flagged"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
