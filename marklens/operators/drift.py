@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklens.functions.metrics import pearson
-from marklens.operators.order import _join_on, average_ranks, ks_statistic, quantiles
+from marklens.operators.order import _join_on, average_ranks, quantiles_of_counts, running_sums
 from marklens.operators.profile import unpivot
 
 # Fixed thresholds of the feature audit.
@@ -22,37 +22,61 @@ def feature_rows(df: DataFrame, features: Sequence[str], split: str = "split") -
     return unpivot(df, features, [split])
 
 
-def feature_quality(rows: DataFrame, fit: Column, other: Column) -> DataFrame:
-    """Quality of each feature in the fit population, outliers in both under the fit fences.
+def value_counts(rows: DataFrame, fit: Column, other: Column, segments: int | None = None) -> DataFrame:
+    """Counts ``a`` (fit) and ``b`` (other) per distinct feature value with running sums.
 
-    ``fit`` and ``other`` are conditions on the long rows (feature, value, ...).
+    One scan of the items feeds every drift statistic: the written table at the grain
+    (feature, value) replaces the rows.  Missing values keep their own row and no place in the order.
     """
+    v = F.when(~F.isnan("value"), F.col("value"))
+    counts = rows.where(fit | other).groupBy("feature", v.alias("value")).agg(
+        F.count_if(fit).alias("n_a"), F.count_if(other).alias("n_b")
+    )
+    present = F.col("value").isNotNull()
+    counts = counts.withColumns(
+        {"a": F.when(present, F.col("n_a")).otherwise(0), "b": F.when(present, F.col("n_b")).otherwise(0)}
+    )
+    return running_sums(counts, "value", ["a", "b"], ["feature"], segments)
+
+
+def _weighted(base: DataFrame) -> DataFrame:
+    """Mean and sample sd of both populations from value counts (centred in a second step)."""
     v = F.col("value")
-    bad = v.isNull() | F.isnan(v)
-    infinite = F.abs(v) == float("inf")
-    basic = rows.groupBy("feature").agg(
-        F.count_if(fit & bad).alias("train_missing"), F.count_if(other & bad).alias("other_missing"),
-        F.count_if(fit & infinite).alias("train_infinite"), F.count_if(other & infinite).alias("other_infinite"),
-        F.count_if(fit).alias("train_n"), F.count_if(other).alias("other_n"),
-        F.min(F.when(fit, v)).alias("train_min"), F.max(F.when(fit, v)).alias("train_max"),
-        F.avg(F.when(fit, v)).alias("train_mean"), F.stddev_samp(F.when(fit, v)).alias("train_std"),
+    means = base.groupBy("feature").agg(
+        (F.sum(v * F.col("a")) / F.sum("a")).alias("train_mean"), (F.sum(v * F.col("b")) / F.sum("b")).alias("other_mean")
     )
-    train = rows.where(fit & ~bad)
-    levels = train.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    dominant = levels.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("train_unique"), (F.max("n") / F.sum("n")).alias("dominant_share")
+    j = base.join(F.broadcast(means), "feature")  # one row per feature
+    ss = lambda w, m: F.sqrt(F.sum(F.col(w) * (v - F.col(m)) * (v - F.col(m))) / (F.sum(w) - 1))
+    return j.groupBy("feature", "train_mean", "other_mean").agg(
+        ss("a", "train_mean").alias("train_std"), ss("b", "other_mean").alias("other_std")
     )
-    q = quantiles(train, "value", {"p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}, ["feature"])
-    fences = q.select(
-        "feature", "p01", "q1", "median", "q3", "p99",
-        (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
-        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"),
+
+
+def feature_quality(base: DataFrame) -> DataFrame:
+    """Quality of each feature in the fit population; outliers of both under the fit fences."""
+    v, a, b = F.col("value"), F.col("a"), F.col("b")
+    missing, infinite, seen = v.isNull(), F.abs(v) == float("inf"), F.col("a") > 0
+    total = lambda cond, n: F.sum(F.when(cond, F.col(n)).otherwise(0))
+    basic = base.groupBy("feature").agg(
+        total(missing, "n_a").alias("train_missing"), total(missing, "n_b").alias("other_missing"),
+        total(infinite, "n_a").alias("train_infinite"), total(infinite, "n_b").alias("other_infinite"),
+        F.sum("n_a").alias("train_n"), F.sum("n_b").alias("other_n"),
+        F.min(F.when(seen, v)).alias("train_min"), F.max(F.when(seen, v)).alias("train_max"),
+        F.count_if(seen).alias("train_unique"), (F.max("a") / F.sum("a")).alias("dominant_share"),
+    )
+    spread = _weighted(base).select("feature", "train_mean", "train_std")
+    q = quantiles_of_counts(base.where(seen), "value", "a", {"p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}, ["feature"])
+    fences = q.withColumns(
+        {
+            "lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
+            "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
+        }
     )
     out_of = ~v.between(F.col("lower_fence"), F.col("upper_fence"))
-    outliers = rows.join(F.broadcast(fences), "feature").groupBy("feature").agg(  # one row per feature
-        F.count_if(fit & out_of).alias("train_outliers"), F.count_if(other & out_of).alias("other_outliers")
+    outliers = base.join(F.broadcast(fences), "feature").groupBy("feature").agg(  # one row per feature
+        total(out_of, "a").alias("train_outliers"), total(out_of, "b").alias("other_outliers")
     )
-    out = basic.join(dominant, "feature").join(fences, "feature").join(outliers, "feature")
+    out = basic.join(spread, "feature").join(fences, "feature").join(outliers, "feature")
     return out.withColumns(
         {
             "train_outlier_share": F.try_divide(F.col("train_outliers"), F.col("train_n")),
@@ -62,28 +86,23 @@ def feature_quality(rows: DataFrame, fit: Column, other: Column) -> DataFrame:
     )
 
 
-def mean_differences(rows: DataFrame, fit: Column, other: Column) -> DataFrame:
+def mean_differences(base: DataFrame) -> DataFrame:
     """Means, sds and the standardised mean difference (root mean of both variances)."""
-    v = F.col("value")
-    out = rows.groupBy("feature").agg(
-        F.avg(F.when(fit, v)).alias("train_mean"), F.avg(F.when(other, v)).alias("other_mean"),
-        F.stddev_samp(F.when(fit, v)).alias("train_std"), F.stddev_samp(F.when(other, v)).alias("other_std"),
-    )
     pooled = F.sqrt((F.col("train_std") * F.col("train_std") + F.col("other_std") * F.col("other_std")) / 2)
     smd = F.when(pooled > 0, (F.col("other_mean") - F.col("train_mean")) / pooled).otherwise(F.lit(0.0))
-    return out.withColumn("smd", smd)
+    return _weighted(base).withColumn("smd", smd)
 
 
-def stability_index(rows: DataFrame, fit: Column, other: Column, bins: int = PSI_BINS) -> DataFrame:
+def stability_index(base: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """Population stability index on distinct fit quantiles; empty bins count with a small share."""
     probs = {f"e{i}": i / bins for i in range(1, bins)}
-    edges = quantiles(rows.where(fit), "value", probs, ["feature"]).select(
+    edges = quantiles_of_counts(base.where("a > 0"), "value", "a", probs, ["feature"]).select(
         "feature", F.array_distinct(F.array(*probs)).alias("edges")
     )
     v = F.col("value")
-    placed = rows.where(fit | other).join(F.broadcast(edges), "feature")  # one row per feature
+    placed = base.where(v.isNotNull()).join(F.broadcast(edges), "feature")  # one row per feature
     placed = placed.withColumn("bin", F.size(F.filter("edges", lambda e: v >= e)))
-    counts = placed.groupBy("feature", "bin").agg(F.count_if(fit).alias("a"), F.count_if(other).alias("b"))
+    counts = placed.groupBy("feature", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     full = grid.join(counts, ["feature", "bin"], "left").na.fill(0, ["a", "b"])
     w = Window.partitionBy("feature")  # at most ``bins`` rows per feature
@@ -92,12 +111,14 @@ def stability_index(rows: DataFrame, fit: Column, other: Column, bins: int = PSI
     return full.withColumn("_t", (q - p) * F.ln(q / p)).groupBy("feature").agg(F.sum("_t").alias("psi"))
 
 
-def stability_verdict(rows: DataFrame, fit: Column, other: Column) -> DataFrame:
+def ks_distance(base: DataFrame) -> DataFrame:
+    gap = F.abs(F.col("cum_a") / F.col("total_a") - F.col("cum_b") / F.col("total_b"))
+    return base.groupBy("feature").agg(F.max(gap).alias("ks"))
+
+
+def stability_verdict(base: DataFrame) -> DataFrame:
     """SMD, KS and PSI per feature and whether all three stay under their thresholds."""
-    smd = mean_differences(rows, fit, other)
-    ks = ks_statistic(rows.where(fit | other), "value", fit, ["feature"])
-    psi = stability_index(rows, fit, other)
-    out = smd.join(ks, "feature").join(psi, "feature")
+    out = mean_differences(base).join(ks_distance(base), "feature").join(stability_index(base), "feature")
     ok = (F.abs("smd") <= SMD_LIMIT) & (F.col("psi") <= PSI_LIMIT) & (F.col("ks") <= KS_LIMIT)
     return out.withColumn("stable", ok)
 

@@ -116,20 +116,30 @@ def quantiles(
     probs: dict[str, float],
     partition: list[str] | None = None,
     segments: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group; ``probs`` maps output name to probability.
 
     Spark's ``percentile`` keeps every distinct value of a group in one buffer.  This keeps one row
     per distinct value spread over the cluster and picks the two order statistics around each
-    position by their cumulative counts.
+    position by their cumulative counts.  A ``weight`` counts a row that many times.
     """
     groups = list(partition or [])
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(n.alias("n"))
     run = running_sums(counts, value, ["n"], groups, segments)
+    return quantiles_of_counts(run, value, "n", probs, groups)
+
+
+def quantiles_of_counts(
+    run: DataFrame, value: str, count: str, probs: dict[str, float], partition: list[str]
+) -> DataFrame:
+    """Quantiles from a ``running_sums`` table of value counts."""
+    n, cum, total = F.col(count), F.col(f"cum_{count}"), F.col(f"total_{count}")
     aggs, outs = [], []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("total_n") - 1)
-        holds = lambda i: (F.col("cum_n") - F.col("n") <= i) & (i < F.col("cum_n"))
+        pos = F.lit(float(p)) * (total - 1)
+        holds = lambda i: (cum - n <= i) & (i < cum)
         aggs += [
             F.max(F.when(holds(F.floor(pos)), F.col(value))).alias(f"_lo_{name}"),
             F.max(F.when(holds(F.ceil(pos)), F.col(value))).alias(f"_hi_{name}"),
@@ -137,7 +147,7 @@ def quantiles(
         ]
         lo = F.col(f"_lo_{name}").cast("double")
         outs.append((lo + (F.col(f"_hi_{name}") - lo) * F.col(f"_w_{name}")).alias(name))
-    return run.groupBy(*groups).agg(*aggs).select(*groups, *outs)
+    return run.groupBy(*partition).agg(*aggs).select(*partition, *outs)
 
 
 def average_ranks(

@@ -1,6 +1,7 @@
 """Imports every plan module, which registers its queries."""
 
 from marklens.plans import (  # noqa: F401
+    chance_queries,
     drift_queries,
     metric_queries,
     ranking_queries,

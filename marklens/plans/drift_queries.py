@@ -30,6 +30,10 @@ def _rows(spark, sf):
     return D.feature_rows(scored(spark, sf), _F)
 
 
+def _base(spark, sf):
+    return D.value_counts(_rows(spark, sf), *_fit())
+
+
 def _f(agg: str, cond: str) -> str:
     return f"{agg} FILTER (WHERE {cond})"
 
@@ -44,7 +48,7 @@ SELECT b.feature, train_missing, other_missing, train_infinite, other_infinite,
 {r('p01', 'p01')}, {r('q1', 'q1')}, {r('median', 'median')}, {r('q3', 'q3')}, {r('p99', 'p99')}, {r('q1-1.5*(q3-q1)', 'lower_fence')}, {r('q3+1.5*(q3-q1)', 'upper_fence')}, train_outliers, other_outliers,
 {r('train_outliers/train_n', 'train_outlier_share')}, {r('other_outliers/other_n', 'other_outlier_share')}, train_std<=1e-8 OR dominant_share>=0.95 AS near_constant FROM b JOIN d ON b.feature=d.feature JOIN q ON b.feature=q.feature JOIN o ON b.feature=o.feature"""))
 def _j1(spark, sf):
-    out = D.feature_quality(_rows(spark, sf), *_fit())
+    out = D.feature_quality(_base(spark, sf))
     return rounded(out.withColumn("train_std", F.round("train_std", 6)))
 
 
@@ -58,7 +62,7 @@ def _trim(df):
 
 @query("j2_mean_differences", with_views("scored", f"WITH {_ROWS}, {_MD} SELECT feature, {_MD_COLS} FROM md"))
 def _j2(spark, sf):
-    return _trim(D.mean_differences(_rows(spark, sf), *_fit()))
+    return _trim(D.mean_differences(_base(spark, sf)))
 
 
 _PSI = f"""ed AS (SELECT feature, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM fr WHERE {_TR} GROUP BY feature), de AS (SELECT DISTINCT feature, unnest(e) AS edge FROM ed),
@@ -73,7 +77,7 @@ FROM kv WINDOW w AS (PARTITION BY feature ORDER BY v)), ks AS (SELECT feature, m
 
 @query("j3_stability_index", with_views("scored", f"WITH {_ROWS}, {_PSI} SELECT feature, {r('psi', 'psi')} FROM psi"))
 def _j3(spark, sf):
-    return rounded(D.stability_index(_rows(spark, sf), *_fit()))
+    return rounded(D.stability_index(_base(spark, sf)))
 
 
 @query("j4_ks_statistic", with_views("scored", f"WITH {_ROWS}, {_KS} SELECT feature, {r('ks', 'ks')} FROM ks"))
@@ -83,7 +87,7 @@ def _j4(spark, sf):
 
 @query("j5_stability_verdict", with_views("scored", f"WITH {_ROWS}, {_MD}, {_PSI}, {_KS} SELECT md.feature, {_MD_COLS}, {r('ks', 'ks')}, {r('psi', 'psi')}, abs(coalesce((m2-m1)/nullif(sqrt((s1*s1+s2*s2)/2), 0), 0))<=0.2 AND psi<=0.1 AND ks<=0.1 AS stable FROM md JOIN psi ON md.feature=psi.feature JOIN ks ON md.feature=ks.feature"))
 def _j5(spark, sf):
-    return _trim(D.stability_verdict(_rows(spark, sf), *_fit()))
+    return _trim(D.stability_verdict(_base(spark, sf)))
 
 
 _RK = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1)/2)"
