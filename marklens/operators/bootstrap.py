@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from marklens.functions.metrics import pearson
 from marklens.operators.chance import intervals
-from marklens.operators.order import auroc, quantiles, rank_rows, seeded_key, spearman
+from marklens.operators.order import auroc, quantiles, rank_rows, seeded_key, spearman, spread
+from marklens.session import materialise
 
 # Cumulative Poisson(1) probabilities up to the resolution of a 32-bit uniform.
 POISSON_CUTS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(12))
@@ -32,9 +33,9 @@ def replicate(df: DataFrame, reps: int, seed: int | str, key: str = "item_id") -
     Weights are a function of (seed, replicate, item), so nothing is shuffled to draw them and any
     lost task draws the same again.
     """
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    rows = rows.withColumn("w", poisson_weight(uniform(seed, "rep", key)))
-    return rows.where(F.col("w") > 0)
+    rows = spread(df, key).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    rows = rows.withColumn("_u", uniform(seed, "rep", key)).where(F.col("_u") >= POISSON_CUTS[0])
+    return rows.withColumn("w", poisson_weight(F.col("_u"))).drop("_u")
 
 
 def auroc_bootstrap(
@@ -101,12 +102,14 @@ def spearman_bootstrap(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]]
         F.array(*[F.struct(F.lit(n).alias("pair"), a.cast("double").alias("x"), b.cast("double").alias("y")) for n, (a, b) in pairs.items()])
     )
     rows = replicate(df, reps, seed).select("rep", "w", packed)
+    rows = materialise(rows.groupBy("pair", "rep", "x", "y").agg(F.sum("w").alias("w")), "replicates")
     return spearman(rows, "x", "y", ["pair", "rep"], "w").select("pair", "rep", "spearman")
 
 
 def agreement_bootstrap(df: DataFrame, a: str, b: str, reps: int, seed: int | str) -> DataFrame:
     """Means, medians, both correlations, mean gap and mean ratio of two counts per replicate."""
     rows = replicate(df.select("item_id", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), reps, seed)
+    rows = materialise(rows.groupBy("rep", "a", "b").agg(F.sum("w").alias("w")), "replicates")
     w = F.col("w")
     mean = lambda x: F.sum(w * F.col(x)) / F.sum("w")
     basic = rows.groupBy("rep").agg(

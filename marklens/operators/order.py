@@ -172,9 +172,10 @@ def spearman(
     groups = list(partition or [])
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    pairs = df.groupBy(*groups, x, y).agg(n.alias("_w"))
-    rx = average_ranks(df, x, groups, weight, "_rx", segments).select(*groups, x, "_rx", "total_n")
-    ry = average_ranks(df, y, groups, weight, "_ry", segments).select(*groups, y, "_ry")
+    # written once: both rank tables and the join read the pairs, not the items
+    pairs = materialise(df.groupBy(*groups, x, y).agg(n.alias("_w")), "pairs")
+    rx = average_ranks(pairs, x, groups, "_w", "_rx", segments).select(*groups, x, "_rx", "total_n")
+    ry = average_ranks(pairs, y, groups, "_w", "_ry", segments).select(*groups, y, "_ry")
     ranked = _join_on(_join_on(pairs, rx, [*groups, x]), ry, [*groups, y])
     mid = (F.col("total_n") + 1) / 2
     a, b, w = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")
@@ -222,6 +223,13 @@ def ks_statistic(
     return run.groupBy(*groups).agg(F.max(gap).alias("ks"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows over all cores before each of them is multiplied by replicates or draws."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key)
+
+
 def seeded_key(seed: str | int, *parts: str | Column) -> Column:
     """``md5(seed:part:...)``: the seeded order that Spark and any SQL engine agree on."""
     pieces = [F.lit(str(seed)), *[_name(p).cast("string") for p in parts]]

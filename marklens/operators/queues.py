@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklens.functions.metrics import queue_columns, safe_ratio
-from marklens.operators.order import budget_size, quantiles, rank_rows, seeded_key, select_by_key, with_row
+from marklens.operators.order import budget_size, quantiles, rank_rows, seeded_key, select_by_key, spread, with_row
 from marklens.schema import BUDGETS, PRIMARY_BUDGET, THRESHOLDS
 
 
@@ -103,7 +103,7 @@ def random_queues(
 ) -> DataFrame:
     """Members of ``draws`` uniform queues without replacement, drawn in md5 order per draw (and group)."""
     reps = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
-    rows = df.select("item_id", *by, *[k for k in keep if k not in by], reps)
+    rows = spread(df, "item_id").select("item_id", *by, *[k for k in keep if k not in by], reps)
     rows = rows.withColumn("_key", seeded_key(seed, "draw", "item_id"))
     picked = select_by_key(rows, "_key", "item_id", budget_size("group_n", budget), ["draw", *by])
     return picked.drop("_key")

@@ -2,8 +2,10 @@
 
 from marklens.plans import (  # noqa: F401
     chance_queries,
+    data_queries,
     drift_queries,
     metric_queries,
     ranking_queries,
     scalar_queries,
+    split_queries,
 )
