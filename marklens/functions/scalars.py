@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from marklens.schema import LARGE_ERROR, SCORE_MAX, SCORE_MIN
 
 # Fixed patterns.
-WORD_PATTERN = r"(?U)\b\w+(?:['’-]\w+)*\b"
+WORD_PATTERN = r"(?U)\b\w++(?:['’-]\w++)*+"  # possessive: long chains of hyphens cost no stack
 NON_ASCII = r"[^\x00-\x7F]"
 SCIENTIFIC_ID = r"(?i)^[0-9.]+E\+[0-9]+$"
 
@@ -194,8 +194,8 @@ def score_text(y: Column) -> Column:
 
 
 def type_family(edit_type: Column) -> Column:
-    """``R:VERB:SVA`` -> ``VERB``."""
-    return F.element_at(F.split(edit_type, ":"), 2)
+    """``R:VERB:SVA`` -> ``VERB``; a type without a prefix is its own family."""
+    return F.coalesce(F.try_element_at(F.split(edit_type, ":"), F.lit(2)), edit_type)
 
 
 def is_grammar_edit(edit_type: Column) -> Column:

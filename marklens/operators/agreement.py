@@ -130,7 +130,7 @@ def label_set_relation(a: Column, b: Column) -> Column:
 
 
 def edit_counts(edits: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Edits per document: all, grammar only, per type, and the share of sentences without one.
+    """Edits per document: all, grammar only, per type, and the share of sentences free of grammar edits.
 
     ``edits(doc_id, sent_id, edit_type)``; documents without edits survive through ``sentences``.
     """
@@ -142,7 +142,8 @@ def edit_counts(edits: DataFrame, sentences: DataFrame) -> DataFrame:
         F.sum(F.when(is_grammar_edit(F.col("edit_type")), F.col("n")).otherwise(0)).alias("edits_grammar"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("edit_type", "n")))).alias("per_type"),
     )
-    hit = edits.select("doc_id", "sent_id").distinct().withColumn("_hit", F.lit(True))
+    grammar = edits.where(is_grammar_edit(F.col("edit_type")))
+    hit = grammar.select("doc_id", "sent_id").distinct().withColumn("_hit", F.lit(True))
     clean = sentences.select("doc_id", "sent_id").join(hit, ["doc_id", "sent_id"], "left").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("sentences"), F.avg(F.col("_hit").isNull().cast("double")).alias("clean_sentence_share")
     )

@@ -8,4 +8,5 @@ from marklens.plans import (  # noqa: F401
     ranking_queries,
     scalar_queries,
     split_queries,
+    text_queries,
 )
