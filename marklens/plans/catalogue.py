@@ -5,8 +5,10 @@ from marklens.plans import (  # noqa: F401
     data_queries,
     drift_queries,
     metric_queries,
+    model_queries,
     ranking_queries,
     scalar_queries,
     split_queries,
+    stream_queries,
     text_queries,
 )
