@@ -90,15 +90,21 @@ def _codes(words) -> np.ndarray:
     return pd.factorize(np.asarray(words, dtype=object))[0] if len(words) else np.empty(0, dtype=int)
 
 
-@F.pandas_udf(T.StructType([T.StructField("mtld", T.DoubleType()), T.StructField("mattr", T.DoubleType())]))
+_PROFILE = T.StructType(
+    [T.StructField("words", T.LongType()), T.StructField("letters", T.LongType()), T.StructField("mtld", T.DoubleType()), T.StructField("mattr", T.DoubleType())]
+)
+
+
+@F.pandas_udf(_PROFILE)
 def diversity(words: pd.Series) -> pd.DataFrame:
-    """MTLD and moving-average type-token ratio of ordered words."""
+    """Count, letters, MTLD and moving-average type-token ratio of ordered words, case-folded."""
     rows = []
     for ws in words:
-        codes = _codes(ws if ws is not None else ())
+        ws = [w.casefold() for w in ws] if ws is not None else []
+        codes = _codes(ws)
         mattr = _window_diversity(codes, WINDOW) if len(codes) >= 2 else 0.0
-        rows.append((_mtld(codes, MTLD_THRESHOLD, MTLD_MIN_TOKENS), mattr))
-    return pd.DataFrame(rows, columns=["mtld", "mattr"])
+        rows.append((len(codes), sum(map(len, ws)), _mtld(codes, MTLD_THRESHOLD, MTLD_MIN_TOKENS), mattr))
+    return pd.DataFrame(rows, columns=_PROFILE.names)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -33,7 +33,7 @@ def _arrivals(spark, sf, repeat: bool):
 def _run(spark, path, start):
     out, mark = f"{path}-out", f"{path}-checkpoint"
     start(N.read_arrivals(spark, path, 2), out, mark).awaitTermination()
-    return spark.read.parquet(out)
+    return N.read_features(spark, out)
 
 
 _SQL = with_text("tk", f"""WITH d AS (SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS text_hash FROM documents)
