@@ -243,6 +243,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(n, key)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Give a scan of few splits as many tasks as there are cores; a scan with enough splits stays as it is."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def seeded_key(seed: str | int, *parts: str | Column) -> Column:
     """``md5(seed:part:...)``: the seeded order that Spark and any SQL engine agree on."""
     pieces = [F.lit(str(seed)), *[_name(p).cast("string") for p in parts]]

@@ -11,7 +11,7 @@ from marklens.functions import text as X
 from marklens.plans.registry import query
 from marklens.plans.text_views import with_text
 from marklens.plans.sqltext import r, rounded
-from marklens.plans.views import table
+from marklens.plans.views import table, texts
 from marklens.session import scratch_dir
 from marklens.streaming import jobs as N
 
@@ -57,4 +57,4 @@ def _n2(spark, sf):
 def _n3(spark, sf):
     from marklens.operators.features import token_table
 
-    return token_table(table(spark, sf, "documents").select("doc_id", "text")).drop("piece_length")
+    return token_table(texts(spark, sf)).drop("piece_length")

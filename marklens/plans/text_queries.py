@@ -10,18 +10,19 @@ from marklens.operators import agreement as A
 from marklens.operators import duplicates as U
 from marklens.operators import features as T
 from marklens.operators import splits as P
+from marklens.operators.order import widen
 from marklens.plans import text_views as V
 from marklens.plans.registry import query
 from marklens.plans.sqltext import n_if, r, rounded
 from marklens.plans.text_views import with_text
-from marklens.plans.views import table
+from marklens.plans.views import table, texts
 from marklens.session import materialise
 
 c = F.col
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf)
 
 
 @query("d1_alpha_tokens", with_text("tk", "SELECT doc_id, count(*) AS tokens, count(*) FILTER (WHERE is_alpha) AS words, count(DISTINCT lemma) FILTER (WHERE is_alpha) AS distinct_words FROM tk GROUP BY doc_id"))
@@ -237,7 +238,7 @@ _TL = "l AS (SELECT d.lang, t.n FROM (SELECT doc_id, count(*) AS n FROM tk GROUP
 @query("d23_truncation_audit", with_text("tk", f"""WITH {_TL} SELECT subset, count(*) AS n, {n_if('n>256')} AS truncated, {r('avg((n>256)::INT)', 'truncated_share')}, min(n) AS min_length, max(n) AS max_length, {r('avg((n-256)/n) FILTER (WHERE n>256)', 'mean_cut_fraction')},
 {r('quantile_cont(n, 0.5)', 'median')}, {r('quantile_cont(n, 0.9)', 'p90')} FROM u GROUP BY subset"""))
 def _d23(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = widen(table(spark, sf, "documents").select("lang", "text"))
     lengths = docs.select(F.explode(F.array("lang", F.lit("all"))).alias("subset"), F.size(X.tokens(S.clean_text(c("text")))).cast("bigint").alias("n_tokens"))
     return rounded(T.truncation_audit(lengths, "n_tokens", ["subset"], 256))
 
@@ -270,7 +271,7 @@ vc AS (SELECT rep, term, df, w/sqrt(sum(w*w) OVER (PARTITION BY rep)) AS w FROM
 
 @query("e3_tfidf_weights", f"WITH {_TF} SELECT rep AS doc_id, count(*) AS terms, {r('sum(w*w)', 'norm')}, {r('max(w)', 'top_weight')}, {r('sum(w)', 'total_weight', 6)} FROM vc GROUP BY rep")
 def _e3(spark, sf):
-    v, _ = U.shingle_weights(table(spark, sf, "documents"), "doc_id", "text")
+    v, _ = U.shingle_weights(texts(spark, sf), "doc_id", "text")
     return v.groupBy(c("rep").alias("doc_id")).agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.sum(c("w") * c("w")), 9).alias("norm"), F.round(F.max("w"), 9).alias("top_weight"),
         F.round(F.sum("w"), 6).alias("total_weight"),
@@ -285,7 +286,7 @@ np AS (SELECT DISTINCT least(a, b) AS left_id, greatest(a, b) AS right_id, s AS
 
 
 def _nearest(spark, sf):
-    return U.nearest_pairs(table(spark, sf, "documents"), "doc_id", "text")
+    return U.nearest_pairs(texts(spark, sf), "doc_id", "text")
 
 
 @query("e4_nearest_pairs", f"WITH {_NN} SELECT * FROM np")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marklens.functions import text as X
 from marklens.operators import features as T
-from marklens.plans.views import table
+from marklens.plans.views import texts
 
 _POS = "'NOUN', 'VERB', 'DET', 'ADJ', 'ADV', 'PROPN', 'AUX', 'PRON', 'ADP', 'NOUN'"
 _DEP = "'nsubj', 'conj', 'advcl', 'ccomp', 'dobj', 'relcl', 'amod', 'xcomp'"
@@ -54,7 +54,7 @@ def with_text(upto: str, body: str) -> str:
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.token_table(table(spark, sf, "documents").select("doc_id", "text"))
+    t = T.token_table(texts(spark, sf))
     return t.withColumns(
         {
             "lemma": X.fold_word(F.col("text")),
@@ -66,7 +66,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return T.sentence_table(table(spark, sf, "documents").select("doc_id", "text"))
+    return T.sentence_table(texts(spark, sf))
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:

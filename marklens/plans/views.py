@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklens.operators import signals
+from marklens.operators.order import widen
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that is heavy per text."""
+    return widen(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 _KEYS = {
     "k": "o_orderkey",
     "c": "o_custkey",
