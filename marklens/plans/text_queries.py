@@ -271,10 +271,11 @@ vc AS (SELECT rep, term, df, w/sqrt(sum(w*w) OVER (PARTITION BY rep)) AS w FROM
 
 @query("e3_tfidf_weights", f"WITH {_TF} SELECT rep AS doc_id, count(*) AS terms, {r('sum(w*w)', 'norm')}, {r('max(w)', 'top_weight')}, {r('sum(w)', 'total_weight', 6)} FROM vc GROUP BY rep")
 def _e3(spark, sf):
-    v, _ = U.shingle_weights(texts(spark, sf), "doc_id", "text")
-    return v.groupBy(c("rep").alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("terms"), F.round(F.sum(c("w") * c("w")), 9).alias("norm"), F.round(F.max("w"), 9).alias("top_weight"),
-        F.round(F.sum("w"), 6).alias("total_weight"),
+    v, _ = U.shingle_vectors(texts(spark, sf), "doc_id", "text")
+    total = lambda f: F.aggregate("w", F.lit(0.0), lambda acc, x: acc + f(x))
+    return v.select(
+        c("rep").alias("doc_id"), F.size("t").cast("bigint").alias("terms"), F.round(total(lambda x: x * x), 9).alias("norm"),
+        F.round(F.array_max("w"), 9).alias("top_weight"), F.round(total(lambda x: x), 6).alias("total_weight"),
     )
 
 
