@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marklens.functions import scalars as S
 from marklens.plans.registry import query
-from marklens.plans.views import scored, table, with_signals, with_views
+from marklens.plans.views import documents, scored, table, with_signals, with_views
 from marklens.operators.order import quantiles
 
 c = F.col
@@ -18,17 +18,17 @@ _ID = "replace(lower(" + _SQ + "), 'ß', 'ss')"
 
 @query("c1_identity_text", f"SELECT doc_id, {_ID.format('text')} AS norm FROM documents")
 def _c1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.identity_text(c("text")).alias("norm"))
+    return documents(spark, sf).select("doc_id", S.identity_text(c("text")).alias("norm"))
 
 
 @query("c2_text_hash", f"SELECT doc_id, sha256({_ID.format('text')}) AS text_hash FROM documents")
 def _c2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.text_hash(c("text")).alias("text_hash"))
+    return documents(spark, sf).select("doc_id", S.text_hash(c("text")).alias("text_hash"))
 
 
 @query("c3_clean_text", f"SELECT doc_id, {_SQ.format('nfc_normalize(text)')} AS clean FROM documents")
 def _c3(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.clean_text(c("text")).alias("clean"))
+    return documents(spark, sf).select("doc_id", S.clean_text(c("text")).alias("clean"))
 
 
 @query(
@@ -36,7 +36,7 @@ def _c3(spark, sf):
     r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[''’-][\p{L}\p{N}_]+)*')) AS words FROM documents""",
 )
 def _c4(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.word_count(c("text")).cast("bigint").alias("words"))
+    return documents(spark, sf).select("doc_id", S.word_count(c("text")).cast("bigint").alias("words"))
 
 
 @query(
@@ -44,12 +44,12 @@ def _c4(spark, sf):
     f"SELECT doc_id, array_to_string(list_slice(string_split({_SQ.format('text')}, ' '), 1, 150), ' ') AS head FROM documents",
 )
 def _c5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.first_words(c("text")).alias("head"))
+    return documents(spark, sf).select("doc_id", S.first_words(c("text")).alias("head"))
 
 
 @query("c6_prompt_key", f"SELECT doc_id, lower({_SQ.format('source')}) AS prompt_key FROM documents")
 def _c6(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.prompt_key(c("source")).alias("prompt_key"))
+    return documents(spark, sf).select("doc_id", S.prompt_key(c("source")).alias("prompt_key"))
 
 
 @query(
@@ -57,7 +57,7 @@ def _c6(spark, sf):
     f"SELECT doc_id, regexp_matches(text, '[^\\x00-\\x7F]') AS non_ascii, length({_SQ.format('text')}) AS clean_chars FROM documents",
 )
 def _c7(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", S.is_non_ascii(c("text")).alias("non_ascii"),
         F.length(S.clean_text(c("text"))).cast("bigint").alias("clean_chars"),
     )

@@ -11,7 +11,7 @@ from marklens.operators import splits as X
 from marklens.operators.order import ks_statistic
 from marklens.plans.registry import query
 from marklens.plans.sqltext import n_if, r, rounded
-from marklens.plans.views import scored, table, with_signals, with_views
+from marklens.plans.views import documents, scored, table, with_signals, with_views
 
 c = F.col
 _HASH = "sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'))"
@@ -23,11 +23,11 @@ mf AS (SELECT d.doc_id, d.source, d.h, sp.split, fo.cv_fold FROM d JOIN sp ON d.
 
 
 def _groups(spark, sf):
-    return X.duplicate_groups(table(spark, sf, "documents"), S.text_hash(c("text")), "source")
+    return X.duplicate_groups(documents(spark, sf), S.text_hash(c("text")), "source")
 
 
 def _assigned(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", S.text_hash(c("text")).alias("h"))
+    d = documents(spark, sf).select("doc_id", "source", S.text_hash(c("text")).alias("h"))
     return X.assign(d, c("h"), "source", 0.2, 5, 42)
 
 

@@ -10,12 +10,11 @@ from marklens.operators import agreement as A
 from marklens.operators import duplicates as U
 from marklens.operators import features as T
 from marklens.operators import splits as P
-from marklens.operators.order import widen
 from marklens.plans import text_views as V
 from marklens.plans.registry import query
 from marklens.plans.sqltext import n_if, r, rounded
 from marklens.plans.text_views import with_text
-from marklens.plans.views import table, texts
+from marklens.plans.views import documents, texts
 from marklens.session import materialise
 
 c = F.col
@@ -92,8 +91,8 @@ _LEX = "lx AS (SELECT lemma AS word, log10(count(*)/(sum(count(*)) OVER ())*1e9)
 
 @query("d6_mean_word_frequency", with_text("tk", f"WITH {_LEX} SELECT doc_id, {r('avg(coalesce(zipf, 0))', 'mean_word_frequency')} FROM tk LEFT JOIN lx ON lx.word=tk.lemma WHERE is_alpha GROUP BY doc_id"))
 def _d6(spark, sf):
-    t = V.tokens(spark, sf)
-    return rounded(T.mean_word_frequency(t, T.lexicon_of(t)))
+    t = materialise(V.tokens(spark, sf), "tokens")
+    return rounded(T.mean_word_frequency(t, materialise(T.lexicon_of(t), "lexicon")))
 
 
 @query("d7_mean_word_length", with_text("tk", f"SELECT doc_id, {r('coalesce(avg(length(lemma)) FILTER (WHERE is_alpha), 0)', 'mean_word_length')} FROM tk GROUP BY doc_id"))
@@ -154,14 +153,14 @@ _CF = f"""cz AS (SELECT doc_id, coalesce(zipf, 0) AS z FROM tk LEFT JOIN lx ON l
 
 @query("d13_low_frequency_content", with_text("tk", f"WITH {_LEX}, {_CF} SELECT doc_id, {r('low', 'content_word_low_frequency_ratio')} FROM cf"))
 def _d13(spark, sf):
-    t = V.tokens(spark, sf)
-    return rounded(T.content_frequencies(t, T.lexicon_of(t)).select("doc_id", "content_word_low_frequency_ratio"))
+    t = materialise(V.tokens(spark, sf), "tokens")
+    return rounded(T.content_frequencies(t, materialise(T.lexicon_of(t), "lexicon")).select("doc_id", "content_word_low_frequency_ratio"))
 
 
 @query("d14_content_frequency_p25", with_text("tk", f"WITH {_LEX}, {_CF} SELECT doc_id, {r('p25', 'content_word_frequency_p25')} FROM cf"))
 def _d14(spark, sf):
-    t = V.tokens(spark, sf)
-    return rounded(T.content_frequencies(t, T.lexicon_of(t)).select("doc_id", "content_word_frequency_p25"))
+    t = materialise(V.tokens(spark, sf), "tokens")
+    return rounded(T.content_frequencies(t, materialise(T.lexicon_of(t), "lexicon")).select("doc_id", "content_word_frequency_p25"))
 
 
 @query("d15_content_lemma_mattr", with_text("tk", f"WITH {_mattr('cm', 'is_alpha AND ' + _CONTENT)} SELECT t.doc_id, {r('coalesce(v, 0)', 'content_lemma_mattr')} FROM (SELECT DISTINCT doc_id FROM tk) t LEFT JOIN cm ON cm.doc_id=t.doc_id"))
@@ -205,8 +204,10 @@ SELECT b.*, round(ml.mtld, 7) AS mtld, {r('CASE WHEN ma.n>=2 THEN ma.v ELSE 0 EN
 {r('complex_sentence_ratio', 'complex_sentence_ratio')}, {r('estimated_clauses_per_sentence', 'estimated_clauses_per_sentence')}, {r('subordinate_clause_ratio', 'subordinate_clause_ratio')}
 FROM b JOIN ml ON ml.doc_id=b.doc_id LEFT JOIN ma ON ma.doc_id=b.doc_id LEFT JOIN fq ON fq.doc_id=b.doc_id JOIN wc ON wc.doc_id=b.doc_id LEFT JOIN mc ON mc.doc_id=b.doc_id JOIN ef ON ef.doc_id=b.doc_id JOIN sy ON sy.doc_id=b.doc_id"""))
 def _d20(spark, sf):
+    # what a parser and a checker would deliver as stored tables
     t = materialise(V.tokens(spark, sf), "tokens")
-    out = T.core_features(t, V.sentences(spark, sf), V.matches(spark, sf), T.lexicon_of(t))
+    s, m = materialise(V.sentences(spark, sf), "sentences"), materialise(V.matches_of(t), "matches")
+    out = T.core_features(t, s, m, materialise(T.lexicon_of(t), "lexicon"))
     return rounded(out.withColumn("mtld", F.round("mtld", 7)))
 
 
@@ -216,7 +217,7 @@ SELECT wc.doc_id, {r('coalesce(low, 0)', 'content_word_low_frequency_ratio')}, {
 FROM wc LEFT JOIN cf ON cf.doc_id=wc.doc_id LEFT JOIN cm ON cm.doc_id=wc.doc_id LEFT JOIN mc ON mc.doc_id=wc.doc_id JOIN dd ON dd.doc_id=wc.doc_id JOIN td ON td.doc_id=wc.doc_id""")))
 def _d20b(spark, sf):
     t = materialise(V.tokens(spark, sf), "tokens")
-    return rounded(T.extra_features(t, V.matches(spark, sf), T.lexicon_of(t)))
+    return rounded(T.extra_features(t, materialise(V.matches_of(t), "matches"), materialise(T.lexicon_of(t), "lexicon")))
 
 
 @query("d21_issue_frequencies", with_text("mt", "SELECT issue_type, rule_id, count(*) AS n, count(DISTINCT doc_id) AS documents FROM mt GROUP BY ALL"))
@@ -238,7 +239,7 @@ _TL = "l AS (SELECT d.lang, t.n FROM (SELECT doc_id, count(*) AS n FROM tk GROUP
 @query("d23_truncation_audit", with_text("tk", f"""WITH {_TL} SELECT subset, count(*) AS n, {n_if('n>256')} AS truncated, {r('avg((n>256)::INT)', 'truncated_share')}, min(n) AS min_length, max(n) AS max_length, {r('avg((n-256)/n) FILTER (WHERE n>256)', 'mean_cut_fraction')},
 {r('quantile_cont(n, 0.5)', 'median')}, {r('quantile_cont(n, 0.9)', 'p90')} FROM u GROUP BY subset"""))
 def _d23(spark, sf):
-    docs = widen(table(spark, sf, "documents").select("lang", "text"))
+    docs = documents(spark, sf).select("lang", "text")
     lengths = docs.select(F.explode(F.array("lang", F.lit("all"))).alias("subset"), F.size(X.tokens(S.clean_text(c("text")))).cast("bigint").alias("n_tokens"))
     return rounded(T.truncation_audit(lengths, "n_tokens", ["subset"], 256))
 
@@ -252,12 +253,12 @@ _H = f"sha256({_NORM})"
 @query("e1_exact_duplicates", f"""WITH g AS (SELECT {_H} AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*)>1), k AS (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*)>1)
 SELECT (SELECT count(*) FROM g) AS text_groups, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM g) AS rows_in_text_groups, (SELECT count(*) FROM k) AS key_groups, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM k) AS rows_in_key_groups""")
 def _e1(spark, sf):
-    return U.exact_groups(table(spark, sf, "documents"), "text", "doc_id")
+    return U.exact_groups(documents(spark, sf), "text", "doc_id")
 
 
 @query("e2_multi_stratum_groups", f"SELECT {_H} AS content_hash, count(*) AS group_size, count(DISTINCT source) AS strata FROM documents GROUP BY 1 HAVING count(DISTINCT source)>1")
 def _e2(spark, sf):
-    g = P.duplicate_groups(table(spark, sf, "documents"), S.text_hash(c("text")), "source")
+    g = P.duplicate_groups(documents(spark, sf), S.text_hash(c("text")), "source")
     return g.where(c("strata") > 1).select("content_hash", "group_size", "strata")
 
 
@@ -299,7 +300,7 @@ def _e4(spark, sf):
 SELECT count(*) AS pairs, count(*) FILTER (WHERE x.split<>y.split) AS cross_split FROM np JOIN s x ON x.doc_id=left_id JOIN s y ON y.doc_id=right_id""")
 def _e5(spark, sf):
     split = F.when(c("source").isin("src0", "src1", "src2", "src3"), "validation").otherwise("model_train")
-    s = table(spark, sf, "documents").select("doc_id", split.alias("split"))
+    s = documents(spark, sf).select("doc_id", split.alias("split"))
     pairs = _nearest(spark, sf)
     pairs = pairs.join(s.select(c("doc_id").alias("left_id"), c("split").alias("ls")), "left_id").join(s.select(c("doc_id").alias("right_id"), c("split").alias("rs")), "right_id")
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(c("ls") != c("rs")).alias("cross_split"))

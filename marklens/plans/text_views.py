@@ -69,14 +69,17 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return T.sentence_table(texts(spark, sf))
 
 
-def matches(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.token_offsets(tokens(spark, sf))
+def matches_of(tokens: DataFrame) -> DataFrame:
     rule = F.expr(_RULE.format(upper="text rlike '^\\\\p{Lu}'", bare=f"text rlike '{_VOWELLESS}'"))
-    m = t.withColumn("rule_id", rule).where(F.col("rule_id").isNotNull())
+    m = T.token_offsets(tokens).withColumn("rule_id", rule).where(F.col("rule_id").isNotNull())
     return m.select(
         "doc_id", "sent_id", F.expr(_TYPE).alias("issue_type"), "rule_id", F.col("char_start").alias("offset"), F.length("text").alias("error_length")
     )
 
 
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    return matches_of(tokens(spark, sf))
+
+
 def edits(spark: SparkSession, sf: str) -> DataFrame:
     return matches(spark, sf).select("doc_id", "sent_id", F.expr(_EDIT).alias("edit_type"))

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All document columns, for work that is heavy per text."""
+    return widen(table(spark, sf, "documents"))
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for work that is heavy per text."""
     return widen(table(spark, sf, "documents").select("doc_id", "text"))
