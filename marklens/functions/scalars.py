@@ -18,6 +18,14 @@ WORD_PATTERN = r"(?U)\b\w++(?:['’-]\w++)*+"  # possessive: long chains of hyph
 NON_ASCII = r"[^\x00-\x7F]"
 SCIENTIFIC_ID = r"(?i)^[0-9.]+E\+[0-9]+$"
 
+# Fixed labels of the evidence classes.
+EVIDENCE = {
+    "A": "A. Supports added value of disagreement",
+    "B": "B. Comparable to simpler baselines",
+    "C": "C. Worse than simpler baselines",
+    "D": "D. Mixed / inconclusive",
+}
+
 
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
@@ -176,15 +184,13 @@ def count_from_rate(rate: Column, words: Column, digits: int = 12) -> Column:
 
 def evidence_class(signal: Column, random_mean: Column, first: Column, second: Column) -> Column:
     """Verdict on a queue signal against chance and two simple rankings."""
-    top, bottom = F.greatest(random_mean, first, second), F.least(random_mean, first, second)
+    rivals = (random_mean, first, second)
+    between = (signal >= F.least(first, second)) & (signal <= F.greatest(first, second))
     return (
-        F.when(signal > top, "A. Supports added value of disagreement")
-        .when(signal < bottom, "C. Worse than simpler baselines")
-        .when(
-            (signal >= random_mean) & (signal >= F.least(first, second)) & (signal <= F.greatest(first, second)),
-            "B. Comparable to simpler baselines",
-        )
-        .otherwise("D. Mixed / inconclusive")
+        F.when(signal > F.greatest(*rivals), EVIDENCE["A"])
+        .when(signal < F.least(*rivals), EVIDENCE["C"])
+        .when((signal >= random_mean) & between, EVIDENCE["B"])
+        .otherwise(EVIDENCE["D"])
     )
 
 
