@@ -29,3 +29,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack(documents(spark, sf_dir), vocabulary(), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm.quality import judge
+
+    out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "verdict.*")
