@@ -37,3 +37,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "verdict.*")
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm.jaccard import join
+
+    return join(documents(spark, sf_dir), k=5, percent=80)
