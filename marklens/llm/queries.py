@@ -44,3 +44,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marklens.llm.jaccard import join
 
     return join(documents(spark, sf_dir), k=5, percent=80)
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm.decontaminate import matches
+
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
