@@ -51,3 +51,25 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from marklens.llm.decontaminate import matches
 
     return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans and all spans as text."""
+    base = F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+
+@query
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm import secrets
+
+    return _span_digests(secrets.scan(documents(spark, sf_dir)), secrets.BASE)
