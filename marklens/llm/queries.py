@@ -73,3 +73,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marklens.llm import secrets
 
     return _span_digests(secrets.scan(documents(spark, sf_dir)), secrets.BASE)
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm.katz import score
+
+    return score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
