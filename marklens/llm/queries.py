@@ -80,3 +80,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marklens.llm.katz import score
 
     return score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm.suffixes import deduplicate
+
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    out = deduplicate(documents(spark, sf_dir), length=400)
+    return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
