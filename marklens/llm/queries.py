@@ -89,3 +89,54 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     out = deduplicate(documents(spark, sf_dir), length=400)
     return out.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: What conversation -1 says in both turns: the template's own marks.
+_MARKS = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm import chat
+
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
+    own = own.select(F.lit(-1).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(_MARKS).alias("text"))
+    back = chat.read_back(chat.windows(given.union(own)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    rows = back.select("conv_id", F.struct("window", said.alias("said"), F.array_join("targets", "").alias("loss")).alias("w"), F.size("turns").alias("n"), "chars")
+    out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sum("n").cast("long").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"))
+    loss = F.array_join(F.col("w")["loss"], "")
+    return out.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.col("w")["said"], ""), 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+TWINS["op5_chat_formatting"] = rf"""
+WITH given AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_MARKS}' UNION ALL SELECT -1, 1, 'assistant', '{_MARKS}'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM given
+), counted AS (
+  SELECT *, place = 1 AND role = 'system' AS sys,
+         CASE WHEN place = 1 AND role = 'system' THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 END AS tokens,
+         length('<|im_start|>') + length('<|im_end|>') + 2 + length(regexp_replace(role, '<(&*)\|', '<&\1|', 'g')) + length(regexp_replace(text, '<(&*)\|', '<&\1|', 'g')) AS chars
+  FROM placed
+), summed AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM counted
+), spans AS (
+  SELECT conv_id, CAST(floor(at / 512) AS BIGINT) AS win, min(CASE WHEN NOT sys THEN at END) AS start FROM summed GROUP BY ALL
+), again AS (
+  SELECT t.conv_id, sum(t.chars) AS chars FROM summed t JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  WHERE (t.sys AND s.win > 0) OR (NOT t.sys AND s.win > floor(t.at / 512) AND s.start - t.at <= 128) GROUP BY ALL
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars
+  FROM summed GROUP BY conv_id
+)
+SELECT w.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (w.chars + coalesce(a.chars, 0))::BIGINT AS formatted_chars
+FROM whole w LEFT JOIN again a ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
