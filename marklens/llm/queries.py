@@ -125,12 +125,12 @@ WITH given AS (
          length('<|im_start|>') + length('<|im_end|>') + 2 + length(regexp_replace(role, '<(&*)\|', '<&\1|', 'g')) + length(regexp_replace(text, '<(&*)\|', '<&\1|', 'g')) AS chars
   FROM placed
 ), summed AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM counted
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM counted
 ), spans AS (
-  SELECT conv_id, CAST(floor(at / 512) AS BIGINT) AS win, min(CASE WHEN NOT sys THEN at END) AS start FROM summed GROUP BY ALL
+  SELECT conv_id, CAST(floor(ahead / 512) AS BIGINT) AS win, min(CASE WHEN NOT sys THEN ahead END) AS start FROM summed GROUP BY ALL
 ), again AS (
   SELECT t.conv_id, sum(t.chars) AS chars FROM summed t JOIN spans s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
-  WHERE (t.sys AND s.win > 0) OR (NOT t.sys AND s.win > floor(t.at / 512) AND s.start - t.at <= 128) GROUP BY ALL
+  WHERE (t.sys AND s.win > 0) OR (NOT t.sys AND s.win > floor(t.ahead / 512) AND s.start - t.ahead <= 128) GROUP BY ALL
 ), whole AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
