@@ -140,3 +140,10 @@ WITH given AS (
 SELECT w.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (w.chars + coalesce(a.chars, 0))::BIGINT AS formatted_chars
 FROM whole w LEFT JOIN again a ON w.conv_id IS NOT DISTINCT FROM a.conv_id
 """
+
+
+@query
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
