@@ -147,3 +147,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marklens.llm.licenses import scan
 
     return scan(documents(spark, sf_dir))
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm import pii
+
+    return _span_digests(pii.scan(documents(spark, sf_dir)), pii.BASE)
