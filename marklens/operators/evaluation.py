@@ -121,8 +121,17 @@ def band_table(long: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fold_interval(folds: DataFrame, by: Sequence[str], value: str = "mae") -> DataFrame:
-    """Mean over folds with a two-sided 95% t interval; NULL ends for a single fold."""
-    t = F.try_element_at(F.array(*[F.lit(x) for x in T_975]), F.col("folds").cast("int") - 1)
+    """Mean over folds with a two-sided 95% t interval; NULL ends for a single fold.
+
+    Beyond the table the quantile is the normal one's expansion in 1/df, right to seven digits from 31 on.
+    """
+    df, z = F.col("folds") - 1, F.lit(1.959963984540054)
+    far = (
+        z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
+        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+        + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * df**4)
+    )
+    t = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in T_975]), df.cast("int")), far)
     out = folds.groupBy(*by).agg(
         F.count(value).alias("folds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd")
     )

@@ -129,20 +129,19 @@ def mean_word_frequency(tokens: DataFrame, lexicon: DataFrame, key: str = "doc_i
     """Mean Zipf value over alphabetic words; unknown words count 0.
 
     Words collapse to (document, word) counts before the lookup, so a frequent word is one row per
-    document.
+    document.  A document without alphabetic words has 0.
     """
-    counts = tokens.where("is_alpha").groupBy(key, X.fold_word(F.col("text")).alias("word")).agg(F.count(F.lit(1)).alias("_n"))
+    word = F.when(F.col("is_alpha"), X.fold_word(F.col("text"))).alias("word")
+    counts = tokens.groupBy(key, word).agg(F.count_if("is_alpha").alias("_n"))
     known = lookup(counts, lexicon, "word", key)
-    return known.groupBy(key).agg(
-        (F.sum(F.coalesce("zipf", F.lit(0.0)) * F.col("_n")) / F.sum("_n")).alias("mean_word_frequency")
-    )
+    return known.groupBy(key).agg(_ratio(F.sum(F.coalesce("zipf", F.lit(0.0)) * F.col("_n")), F.sum("_n")).alias("mean_word_frequency"))
 
 
 def content_frequencies(tokens: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Share of rare content lemmas and the nearest-rank 25th percentile of their Zipf values."""
+    """Share of rare content lemmas and the nearest-rank 25th percentile of their Zipf values; 0 without content words."""
     lemma = X.fold_word(F.coalesce(F.nullif(F.col("lemma"), F.lit("")), F.col("text")))
-    content = tokens.where(F.col("is_alpha") & F.col("pos").isin(*CONTENT_POS))
-    counts = content.groupBy(key, lemma.alias("word")).agg(F.count(F.lit(1)).alias("_n"))
+    content = F.col("is_alpha") & F.coalesce(F.col("pos").isin(*CONTENT_POS), F.lit(False))
+    counts = tokens.groupBy(key, F.when(content, lemma).alias("word")).agg(F.count_if(content).alias("_n"))
     known = lookup(counts, lexicon, "word", key).withColumn("_z", F.coalesce("zipf", F.lit(0.0)))
     # distinct lemmas of one document, a bounded list, ordered with their multiplicities
     order = F.array_sort(F.collect_list(F.struct(F.col("_z").alias("z"), F.col("_n").alias("n"))))

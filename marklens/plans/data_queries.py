@@ -87,12 +87,14 @@ def _a5(spark, sf):
     )
 
 
-@query("a6_numeric_csv_sink", with_views("scored", "SELECT item_id, lin_v, round(lin_v/3, 9) AS third FROM scored"))
+@query("a6_numeric_csv_sink", with_views("scored", """SELECT item_id, printf('%.12g', lin_v::DOUBLE) AS lin_v, printf('%.12g', lin_v/3) AS third,
+    printf('%.12g', lin_v/7e6) AS small, printf('%.12g', lin_v*1234567890123.4567) AS large FROM scored"""))
 def _a6(spark, sf):
     path = _path(spark, "numbers")
-    IO.write_numeric_csv(scored(spark, sf).select("item_id", "lin_v", (c("lin_v") / 3).alias("third")), path)
-    schema = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("lin_v", T.DoubleType()), T.StructField("third", T.DoubleType())])
-    return IO.read_csv(spark, path, schema).withColumn("third", F.round("third", 9))
+    wide = scored(spark, sf).select("item_id", c("lin_v").cast("double"), (c("lin_v") / 3).alias("third"), (c("lin_v") / 7e6).alias("small"), (c("lin_v") * 1234567890123.4567).alias("large"))
+    IO.write_numeric_csv(wide, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in wide.columns])
+    return IO.read_csv(spark, path, schema)
 
 
 _DOC_WORDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("words", T.LongType())])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marklens.functions import scalars as S
 from marklens.functions import text as X
 from marklens.plans.registry import query
+from marklens.plans.text_queries import _MTLD, _mattr
 from marklens.plans.text_views import with_text
 from marklens.plans.sqltext import r, rounded
 from marklens.plans.views import table, texts
@@ -36,21 +37,22 @@ def _run(spark, path, start):
     return N.read_features(spark, out)
 
 
-_SQL = with_text("tk", f"""WITH d AS (SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS text_hash FROM documents)
+_SQL = with_text("tk", f"""WITH d AS (SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS text_hash FROM documents), {_MTLD}, {_mattr('ma', 'is_alpha')}
 SELECT tk.doc_id, any_value(text_hash) AS text_hash, count(*) FILTER (WHERE is_alpha)::DOUBLE AS word_count, count(DISTINCT sent_id)::DOUBLE AS sentence_count, {r('count(*) FILTER (WHERE is_alpha)/count(DISTINCT sent_id)', 'mean_sentence_length')},
-{r('coalesce(avg(length(lemma)) FILTER (WHERE is_alpha), 0)', 'mean_word_length')} FROM tk JOIN d ON d.doc_id=tk.doc_id GROUP BY tk.doc_id""")
+{r('coalesce(avg(length(lemma)) FILTER (WHERE is_alpha), 0)', 'mean_word_length')}, {r('any_value(mtld)', 'mtld', 7)}, {r('coalesce(any_value(CASE WHEN ma.n>=2 THEN ma.v END), 0)', 'mattr')}
+FROM tk JOIN d ON d.doc_id=tk.doc_id JOIN ml ON ml.doc_id=tk.doc_id LEFT JOIN ma ON ma.doc_id=tk.doc_id GROUP BY tk.doc_id""")
 
 
 @query("n1_feature_stream", _SQL)
 def _n1(spark, sf):
     path = _arrivals(spark, sf, False)
-    return rounded(_run(spark, path, N.feature_stream).drop("mtld", "mattr"))
+    return rounded(_run(spark, path, N.feature_stream).withColumn("mtld", F.round("mtld", 7)))
 
 
 @query("n2_duplicate_arrivals", _SQL)
 def _n2(spark, sf):
     path = _arrivals(spark, sf, True)
-    return rounded(_run(spark, path, N.deduplicated_feature_stream).drop("mtld", "mattr"))
+    return rounded(_run(spark, path, N.deduplicated_feature_stream).withColumn("mtld", F.round("mtld", 7)))
 
 
 @query("n3_exploded_tokens", with_text("tk", "SELECT doc_id, sent_id, sent_pos, tok_i, text, is_alpha FROM tk"))

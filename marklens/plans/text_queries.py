@@ -89,7 +89,7 @@ def _d5(spark, sf):
 _LEX = "lx AS (SELECT lemma AS word, log10(count(*)/(sum(count(*)) OVER ())*1e9) AS zipf FROM tk WHERE is_alpha GROUP BY lemma)"
 
 
-@query("d6_mean_word_frequency", with_text("tk", f"WITH {_LEX} SELECT doc_id, {r('avg(coalesce(zipf, 0))', 'mean_word_frequency')} FROM tk LEFT JOIN lx ON lx.word=tk.lemma WHERE is_alpha GROUP BY doc_id"))
+@query("d6_mean_word_frequency", with_text("tk", f"WITH {_LEX} SELECT doc_id, {r('coalesce(avg(coalesce(zipf, 0)) FILTER (WHERE is_alpha), 0)', 'mean_word_frequency')} FROM tk LEFT JOIN lx ON lx.word=tk.lemma GROUP BY doc_id"))
 def _d6(spark, sf):
     t = materialise(V.tokens(spark, sf), "tokens")
     return rounded(T.mean_word_frequency(t, materialise(T.lexicon_of(t), "lexicon")))
@@ -148,7 +148,7 @@ def _d12(spark, sf):
     return rounded(_base(spark, sf).select("doc_id", "complex_sentence_ratio", "estimated_clauses_per_sentence", "subordinate_clause_ratio"))
 
 
-_CF = f"""cz AS (SELECT doc_id, coalesce(zipf, 0) AS z FROM tk LEFT JOIN lx ON lx.word=tk.lemma WHERE is_alpha AND {_CONTENT}), cf AS (SELECT doc_id, avg((z<4)::INT) AS low, list_sort(list(z))[CAST(greatest(1, ceil(0.25*count(*))) AS INT)] AS p25 FROM cz GROUP BY doc_id)"""
+_CF = f"""cz AS (SELECT doc_id, CASE WHEN is_alpha AND {_CONTENT} THEN coalesce(zipf, 0) END AS z FROM tk LEFT JOIN lx ON lx.word=tk.lemma), cf AS (SELECT doc_id, coalesce(avg((z<4)::INT), 0) AS low, coalesce(list_sort(list(z) FILTER (WHERE z IS NOT NULL))[CAST(greatest(1, ceil(0.25*count(z))) AS INT)], 0) AS p25 FROM cz GROUP BY doc_id)"""
 
 
 @query("d13_low_frequency_content", with_text("tk", f"WITH {_LEX}, {_CF} SELECT doc_id, {r('low', 'content_word_low_frequency_ratio')} FROM cf"))

@@ -57,16 +57,21 @@ def write_corpus(sources: Mapping[str, DataFrame], manifest: DataFrame, key: str
 
 
 def twelve_digits(x: str):
-    """Twelve significant digits as text.
+    """Twelve significant digits as text, as C's ``%.12g`` writes them.
 
-    Fixed notation inside 1e-4..1e12 with trailing zeros cut, exponent notation outside.
+    The rounded exponent decides the form: fixed notation from 1e-5 (excluded) to 1e12, exponent notation outside;
+    trailing zeros are cut in both.
     """
     v = F.col(x).cast("double")
-    exponent = F.floor(F.log10(F.abs(v)))
-    places = F.greatest(F.lit(0), F.lit(11) - exponent).cast("int")
-    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.16f", F.round(v, 12)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    exact = F.when(places <= 12, fixed).otherwise(F.format_string("%.11e", v))
-    return F.when(v == 0, F.lit("0")).when((exponent < -4) | (exponent > 11), F.format_string("%.11e", v)).otherwise(exact)
+    written = F.format_string("%.11e", F.abs(v))
+    exponent = F.regexp_extract(written, r"e([+-]\d+)$", 1).cast("int")
+    digits = F.concat(F.substring(written, 1, 1), F.substring(written, 3, 11))
+    cut = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    whole = F.concat(F.left(digits, exponent + 1), F.lit("."), F.right(digits, 11 - exponent))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    form = F.when((exponent < -4) | (exponent > 11), cut(written)).when(exponent >= 0, cut(whole)).otherwise(cut(small))
+    sign = F.when(F.signum(v) < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(v), F.lit("nan")).when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf"))).when(v == 0, F.lit("0")).otherwise(F.concat(sign, form))
 
 
 def write_numeric_csv(df: DataFrame, path: str) -> None:

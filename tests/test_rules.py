@@ -120,3 +120,24 @@ def test_equal_texts_share_a_split(spark):
 def test_count_from_rate(spark):
     df = spark.createDataFrame([(100 * 7 / 311, 311), (0.0, 50), (33.333, 90)], "r double, w int")
     assert [r[0] for r in df.select(S.count_from_rate(c("r"), c("w"))).collect()] == [7, 0, None]
+
+
+def test_twelve_digits_as_c_writes_them(spark):
+    from marklens.sources.tables import twelve_digits
+
+    values = [10 / 3, 1234.56789012345, 123456789.12345679, 0.012345678901234, 1e-5, 9.9999999999999e-5, 1e12, 999999999999.9, 123456789012345.0, -0.1, 0.0, -2.5, 5e-324, 1.7e308, 100.0, 1e-4]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = [r[0] for r in df.select(twelve_digits("v")).collect()]
+    assert got == ["%.12g" % v for v in values] + [None]
+
+
+def test_interval_beyond_the_table(spark):
+    from marklens.operators.evaluation import fold_interval
+
+    rows = [(f, float(k % 5)) for f in (31, 32, 41, 101) for k in range(f)]
+    out = {r.g: r for r in fold_interval(spark.createDataFrame(rows, "g int, mae double"), ["g"]).collect()}
+    sd = spark.createDataFrame(rows, "g int, mae double").groupBy("g").agg({"mae": "stddev_samp"}).collect()
+    # published two-sided 95% quantiles for 30, 31, 40 and 100 degrees of freedom
+    for g, t in ((31, 2.042272456), (32, 2.039513446), (41, 2.021075390), (101, 1.983971519)):
+        s = dict(map(tuple, sd))[g]
+        assert abs((out[g].high - out[g].mean) / (s / g**0.5) - t) < 1e-6
