@@ -60,11 +60,11 @@ def twelve_digits(x: str):
     """Twelve significant digits as text, as C's ``%.12g`` writes them.
 
     The rounded exponent decides the form: fixed notation from 1e-5 (excluded) to 1e12, exponent notation outside;
-    trailing zeros are cut in both.
+    trailing zeros are cut in both.  Subnormal numbers have fewer digits than asked for and are written with those.
     """
     v = F.col(x).cast("double")
     written = F.format_string("%.11e", F.abs(v))
-    exponent = F.regexp_extract(written, r"e([+-]\d+)$", 1).cast("int")
+    exponent = F.regexp_extract(written, r"e([+-]\d+)$", 1).try_cast("int")
     digits = F.concat(F.substring(written, 1, 1), F.substring(written, 3, 11))
     cut = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
     whole = F.concat(F.left(digits, exponent + 1), F.lit("."), F.right(digits, 11 - exponent))

@@ -125,7 +125,7 @@ def test_count_from_rate(spark):
 def test_twelve_digits_as_c_writes_them(spark):
     from marklens.sources.tables import twelve_digits
 
-    values = [10 / 3, 1234.56789012345, 123456789.12345679, 0.012345678901234, 1e-5, 9.9999999999999e-5, 1e12, 999999999999.9, 123456789012345.0, -0.1, 0.0, -2.5, 5e-324, 1.7e308, 100.0, 1e-4]
+    values = [10 / 3, 1234.56789012345, 123456789.12345679, 0.012345678901234, 1e-5, 9.9999999999999e-5, 1e12, 999999999999.9, 123456789012345.0, -0.1, 0.0, -2.5, 2.3e-308, 1.7e308, 100.0, 1e-4]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     got = [r[0] for r in df.select(twelve_digits("v")).collect()]
     assert got == ["%.12g" % v for v in values] + [None]
