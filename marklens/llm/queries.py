@@ -75,6 +75,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(secrets.scan(documents(spark, sf_dir)), secrets.BASE)
 
 
+TWINS["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM cut
+), classes AS (
+  SELECT doc_id, len(g) AS n, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY len(g), md5(array_to_string(g, chr(10)))) END AS class_id, g FROM sets
+), x AS (SELECT doc_id, n, unnest(g) AS h FROM classes WHERE doc_id = class_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs WHERE 100 * c >= 80 * (na + nb - c) UNION ALL SELECT b, a FROM pairs WHERE 100 * c >= 80 * (na + nb - c)
+), reach AS (SELECT class_id AS node, class_id AS seen FROM classes UNION SELECT l.b, r.seen FROM reach r JOIN links l ON l.a = r.node
+), least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, class_id, component_id FROM classes JOIN least ON node = class_id
+"""
+
+
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marklens.llm.katz import score

@@ -1,9 +1,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from marklens.llm import queries
 from marklens.llm.components import components
 from marklens.llm.jaccard import join
 
@@ -74,3 +76,12 @@ def test_chain_of_links(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7), (5, 5), (9, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 100 for i in range(100, 161)} | {3: 3, 7: 3, 9: 3}
+
+
+def test_query_against_sql(spark, sf):
+    df = queries.op1_ngram_jaccard_join(spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    cur = con.execute(queries.TWINS["op1_ngram_jaccard_join"])
+    assert [d[0] for d in cur.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
