@@ -28,6 +28,23 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+#: Offsets (groups x segments) known to be few enough to be sent to every task.
+OFFSET_ROWS = 1_000_000
+
+
+def _attach(table: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the offsets of the segments to their rows.
+
+    The offsets are a written table of one row per group and segment.  While they are few, the ordered rows stay where
+    they are; beyond that both sides are shuffled by segment and group.
+    """
+    per = materialise(per, "offsets")
+    few = per.limit(OFFSET_ROWS + 1).count() <= OFFSET_ROWS
+    right = per.select(*[F.col(k).alias(f"_r_{k}") if k in [*keys, "_seg"] else F.col(k) for k in per.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.col("_seg") == F.col("_r__seg"))
+    return table.join(F.broadcast(right) if few else right, cond).drop("_r__seg", *[f"_r_{k}" for k in keys])
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table to every row, as a scalar subquery rather than a join."""
     packed = df.withColumn("_row", row.select(F.struct("*")).scalar())
@@ -74,7 +91,7 @@ def rank_rows(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    out = _join_on(table, per, [*keys, "_seg"])
+    out = _attach(table, per, keys)
     out = out.withColumn(rank, F.col("_before") + F.col("_pos") - F.col("_first") + 1)
     if size:
         out = out.withColumn(size, F.col("_total"))
@@ -105,7 +122,7 @@ def running_sums(
     )
     local = Window.partitionBy(*keys, "_seg").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     table = table.withColumns({f"_c_{s}": F.sum(s).over(local) for s in sums})
-    out = _join_on(table, per, [*keys, "_seg"])
+    out = _attach(table, per, keys)
     out = out.withColumns({f"cum_{s}": F.col(f"_b_{s}") + F.col(f"_c_{s}") for s in sums})
     return out.drop("_seg", "_pos", "_all", *[f"_b_{s}" for s in sums], *[f"_c_{s}" for s in sums])
 
