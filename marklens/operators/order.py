@@ -240,7 +240,7 @@ def ks_statistic(
     return run.groupBy(*groups).agg(F.max(gap).alias("ks"))
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, salt_by: str, limit: int = 1_000_000, salts: int = 32) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, key: str, salt_by: str | list[str], limit: int = 1_000_000, salts: int = 32) -> DataFrame:
     """Left join to a lookup table on one key.
 
     The table is broadcast only when a bounded count shows it has at most ``limit`` rows.  Beyond
@@ -248,7 +248,7 @@ def lookup(df: DataFrame, table: DataFrame, key: str, salt_by: str, limit: int =
     """
     if table.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(table), key, "left")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*([salt_by] if isinstance(salt_by, str) else salt_by)), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 

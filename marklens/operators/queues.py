@@ -180,7 +180,7 @@ def prioritise(df: DataFrame, budget: float, threshold: float) -> DataFrame:
     from marklens.functions.scalars import consensus, reasons
     from marklens.operators.signals import add_signals
 
-    if not (isinstance(budget, (int, float)) and 0 <= budget <= 1):
+    if isinstance(budget, bool) or not (isinstance(budget, (int, float)) and 0 <= budget <= 1):
         raise ValueError("review budget must be a number in [0, 1]")
     s = add_signals(df.select("item_id", "y_v", "y_g", "lin_v", "lin_g", "for_v", "for_g"))
     ranked = rank_rows(s.select("item_id", "lin_v", "lin_g", "for_v", "for_g", "d_v", "d_g", "d_max"), [F.desc("d_max"), "item_id"])

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marklens.operators.order import rank_by_key, rank_rows, seeded_key
+from marklens.operators.order import lookup, rank_by_key, rank_rows, seeded_key
+from marklens.session import materialise
 
 
 def duplicate_groups(df: DataFrame, content: Column, stratum: str) -> DataFrame:
@@ -43,10 +45,15 @@ def fold_groups(groups: DataFrame, folds: int, seed: int | str) -> DataFrame:
 
 
 def assign(df: DataFrame, content: Column, stratum: str, share: float, folds: int, seed: int | str) -> DataFrame:
-    """Split and fold per row; equal contents always share both."""
+    """Split and fold per row; equal contents always share both.
+
+    A content that a third of the rows share is spread over salted tasks.
+    """
     groups = fold_groups(holdout_groups(duplicate_groups(df, content, stratum), share, seed), folds, f"{seed}-fold")
-    rows = df.withColumn("content_hash", content)
-    return rows.join(groups.select("content_hash", "split", "cv_fold"), "content_hash")
+    groups = materialise(groups.select("content_hash", "split", "cv_fold"), "groups")
+    rows = df.withColumn("content_hash", content).where(F.col("content_hash").isNotNull())
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return lookup(rows, groups, "content_hash", plain)
 
 
 def snake_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
