@@ -132,7 +132,8 @@ def quota_sample(df: DataFrame, key: str, rules: Sequence[tuple[str, list]], quo
 def exclusive_samples(df: DataFrame, key: str, steps: Sequence[tuple[str, Column, list, int]]) -> DataFrame:
     """Named samples one after another: predicate, order and size; earlier picks are left out.
 
-    A step looks at its own quota plus everything picked before, which bounds each list.
+    A step looks at its own quota plus everything picked before, which bounds each list, and its few picks are
+    written, so that each step reads the items once.
     """
     taken = None
     out = None
@@ -141,7 +142,7 @@ def exclusive_samples(df: DataFrame, key: str, steps: Sequence[tuple[str, Column
         pool = first_rows(df.where(cond), order, k + before)
         if taken is not None:
             pool = pool.join(F.broadcast(taken), key, "left_anti")
-        step = first_rows(pool, order, k).withColumn("sample", F.lit(name))
+        step = materialise(first_rows(pool, order, k).withColumn("sample", F.lit(name)), "sample")
         out = step if out is None else out.unionByName(step)
         ids = step.select(key)
         taken = ids if taken is None else taken.unionByName(ids)
