@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklens.llm import bytetext as bt
-from marklens.llm.tables import materialise
+from marklens.llm.tables import materialise, small_batches
 
 WINDOW = 4096
 #: Most tokens that a queue sends at once; a window's share of a source is off by about one packet at most.
@@ -58,6 +58,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
                 )
                 row += j - i
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("\0none")).alias("source"),

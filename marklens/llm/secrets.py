@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marklens.llm import bytetext as bt
-from marklens.llm.tables import texts
+from marklens.llm.tables import small_batches, texts
 
 # Kinds of the base, their keywords and patterns.
 BASE = ("assign", "access", "hex")
@@ -167,6 +167,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
 
     ``size_col``, where present, is set to the new length of a changed text.  Null texts stay null.
     """
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     sized = docs.columns.index(size_col) if size_col in docs.columns else None
 

@@ -14,8 +14,8 @@ import numpy as np
 
 from marklens.llm import bytetext as bt
 
-_SLOTS = 1 << 21
-_FLAT = 1 << 25
+_SLOTS = 1 << 20
+_FLAT = 1 << 23
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,!?;:%$*&#")] = True
 _ALNUM = np.zeros(256, bool)
