@@ -31,7 +31,7 @@ from marklens.llm.tables import materialise, parallel, texts
 from marklens.session import scratch_dir
 
 LENGTH = 400
-PART = 16 << 20
+PART = 6 << 20
 #: Suffixes from which a range of strings is made, about; sampled strings per part and in all.
 RANGE, SAMPLED, SAMPLES = 60_000, 64, 8192
 _SEGMENT = 1 << 20
@@ -48,9 +48,8 @@ def _rolling(data: np.ndarray, size: int) -> np.ndarray:
         steps[0] = back[0] = 1
         _tables.extend([np.cumprod(steps), np.cumprod(back)])
     out, reach = [], len(_tables[0]) - 1 - size
-    value = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     for lo in range(0, max(0, len(data) - size + 1), reach):
-        own = value[lo : lo + reach + size - 1]
+        own = (data[lo : lo + reach + size - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         run = np.cumsum(own * _tables[0][: len(own)])
         run = np.concatenate([np.zeros(1, np.uint64), run])
         out.append(bt.mix((run[size:] - run[:-size]) * _tables[1][: len(run) - size]))
