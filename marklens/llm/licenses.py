@@ -95,8 +95,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     hashed = texts(docs, id_col, text_col).withColumn("words", _words(F.col("text"))).select("doc_id", _shingles(F.col("words")).alias("h"))
     some = materialise(where_computed(hashed, F.arrays_overlap("h", all_shingles)), "license-shingles")
     windows = some.select("doc_id", "h", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
-    windows = windows.select("doc_id", "size", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1, F.col("size"))).alias("first_word"))
-    windows = windows.select("doc_id", "size", "first_word", F.array_distinct(F.slice("h", F.col("first_word") + 1, 2 * F.col("size") - (K - 1))).alias("near"))
+    # Windows are cut before they become rows, so that no row carries its whole document.
+    starts = F.sequence(F.lit(0), F.size("h") - 1, F.col("size"))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("first_word"), F.array_distinct(F.slice("h", i + 1, 2 * F.col("size") - (K - 1))).alias("near")))
+    windows = windows.select("doc_id", "size", F.explode(cut).alias("w")).select("doc_id", "size", "w.first_word", "w.near")
     windows = where_computed(windows, F.arrays_overlap("near", all_shingles))
     marked = windows.select("doc_id", "size", "first_word", "near", F.explode(_bands(F.col("near"))).alias("b")).select("doc_id", "size", "first_word", "near", "b.band", "b.key")
     marks = table.select("license", "size", "own", F.explode(_bands(F.col("own"))).alias("b")).select("license", "size", "own", "b.band", "b.key")
