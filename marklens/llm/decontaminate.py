@@ -1,12 +1,12 @@
-"""Benchmark passages in documents: latent semantic retrieval, then longest common subsequence and answer checks.
+"""Benchmark passages in documents: counted candidates, then longest common subsequence, answer and weight checks.
 
-Passages are windows of words; their hashed TF-IDF vectors use passage frequencies of the whole corpus.  A randomised
-subspace iteration over a bounded sample of passages, run as Spark jobs, gives the latent basis.  Every window of every
-document is compared with the latent image of every benchmark passage; what comes near enough is verified word by word.
+An item of n words is looked for around every step of every text, in the window from there with n more words on either
+side.  It is there if enough of its words and of its answer's follow in order, and if they hold enough of its TF-IDF
+weight.  At most n - need words may be missing, so of its rarest words all but that many must lie in the region;
+regions are found by counting those, which loses none, and every rule is then checked word by word.
 
-Bounds: the basis is fitted on at most ``FIT_ITEMS`` benchmark and ``FIT_PASSAGES`` corpus passages, the smallest by
-hash, so that it has at most (FIT_ITEMS + FIT_PASSAGES) * WINDOW rows of RANK numbers; the corpus's frequencies are a
-vector of ``BUCKETS`` counts; benchmark passages are compared in blocks of ``BLOCK``, one reading of the corpus each.
+Bounds: the corpus's frequencies are a vector of ``BUCKETS`` counts; they weigh and order words but decide no candidate;
+items are compared in blocks of ``BLOCK``, one reading of the corpus each.
 """
 
 from __future__ import annotations
@@ -26,14 +26,12 @@ _SLICE = 1 << 16
 #: Words from one window's start to the next; a window is three steps.
 STEP = 16
 WINDOW = 3 * STEP
-#: Words of a benchmark passage: it lies whole within some window wherever it occurs.
-QUERY = WINDOW - STEP
-FIT_ITEMS, FIT_PASSAGES, BLOCK = 1024, 512, 2048
-RANK, OVERSAMPLE, ROUNDS = 256, 16, 2
-#: Words in more than this share of all passages carry no weight.
-MAX_SHARE = 0.05
-#: Passages from which a share of them says something.
-COMMON_FROM = 1000
+BLOCK = 4096
+#: Rarest words of an item that are counted beyond those that may be missing.
+BEYOND = 5
+#: Words in more than this share of all passages carry no weight; the share is of the passages and ``PRIOR`` more.
+MAX_SHARE, PRIOR = 0.05, 1000
+#: Cosine of an item with its own words that lie near the place.
 MIN_COSINE = 0.3
 #: Shares of an item's and its answer's words that must follow in order; a short item must be there whole.
 MIN_COMMON, MIN_ANSWER, SHORT = 0.6, 0.5, 8
@@ -71,14 +69,13 @@ def _bucket(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def statistics(docs: DataFrame) -> tuple[np.ndarray, int, list[list[int]]]:
-    """Passage frequency of every bucket, number of passages, and the sampled passages' buckets."""
+def statistics(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Passage frequency of every bucket and number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, best = np.zeros(BUCKETS, np.int64), 0, []
+        count, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             data, bounds = bt.raw(batch.column(1))
-            ids = batch.column(0).fill_null(-1).to_numpy()
             for i, j in bt.pieces(bounds):
                 doc, h = _plain_words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 if not len(doc):
@@ -87,19 +84,10 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, int, list[list[int]]]:
                 number = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1])])
                 pairs = np.unique(number * BUCKETS + _bucket(h))
                 np.add.at(count, pairs % BUCKETS, 1)
-                first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-                total += len(first)
-                key = bt.mix(ids[i + doc[first]].astype(np.uint64) * np.uint64(1 << 24) + passage[first].astype(np.uint64))
-                limit = best[-1][0] if len(best) >= FIT_PASSAGES else None
-                chosen = np.arange(len(first)) if limit is None else np.flatnonzero(key < np.uint64(limit))
-                chosen = chosen[np.argsort(key[chosen])[:FIT_PASSAGES]]
-                cut = np.r_[first, len(doc)]
-                best = sorted(best + [(int(key[k]), _bucket(h[cut[k] : cut[k + 1]]).tolist()) for k in chosen])[:FIT_PASSAGES]
+                total += int(number[-1]) + 1
         for s in np.flatnonzero(count.reshape(-1, _SLICE).any(axis=1)):
-            yield _row("count", int(s), bt.pack(count[s * _SLICE : (s + 1) * _SLICE]), 0, [])
-        yield _row("total", total, b"", 0, [])
-        for key, buckets in best:
-            yield _row("sample", 0, b"", key - (1 << 63), buckets)
+            yield _row("count", int(s), bt.pack(count[s * _SLICE : (s + 1) * _SLICE]))
+        yield _row("total", total, b"")
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(_SLICE, np.int64)
@@ -107,144 +95,137 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, int, list[list[int]]]:
             total += bt.unpack(b, np.int64)
         return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([bt.pack(total)], pa.binary())})
 
-    found = materialise(docs.mapInArrow(run, "kind string, slice long, counts binary, key long, buckets array<int>"), "passage-counts")
+    found = materialise(docs.mapInArrow(run, "kind string, slice long, counts binary"), "passage-counts")
     summed = found.where("kind = 'count'").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()
     frequency = np.zeros(BUCKETS, np.int64)
     for r in summed:
         frequency[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = bt.unpack(r["counts"], np.int64)
     total = found.where("kind = 'total'").agg(F.sum("slice")).first()[0] or 0
-    sample = found.where("kind = 'sample'").orderBy("key", "buckets").select("buckets").limit(FIT_PASSAGES).collect()
-    return frequency, int(total), [r["buckets"] for r in sample]
+    return frequency, int(total)
 
 
-def _row(kind: str, part: int, counts: bytes, key: int, buckets: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind]), pa.array([part], pa.int64()), pa.array([counts], pa.binary()), pa.array([key], pa.int64()), pa.array([buckets], pa.list_(pa.int32()))],
-        names=["kind", "slice", "counts", "key", "buckets"],
-    )
+def _row(kind: str, part: int, counts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([part], pa.int64()), pa.array([counts], pa.binary())], names=["kind", "slice", "counts"])
 
 
 def weights(frequency: np.ndarray, total: int) -> np.ndarray:
     """Inverse passage frequency of every bucket; none for very common ones."""
-    out = np.log((total + 1) / (frequency + 1)).astype(np.float32)
-    if total >= COMMON_FROM:
-        out[frequency > MAX_SHARE * total] = 0
+    out = np.log((total + 1) / (frequency + 1))
+    out[frequency > MAX_SHARE * (total + PRIOR)] = 0
     return np.maximum(out, 0)
 
 
-def latent_basis(spark: SparkSession, passages: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the passages and the basis: one row of at most RANK numbers per bucket.
-
-    Each round multiplies the basis by A'A as one Spark job over the passages; the driver orthonormalises the sum.
-    """
-    kept = [[b for b in p if idf[b] > 0] for p in passages]
-    vocabulary = np.unique(np.array([b for p in kept for b in p], np.int64))
-    if not len(vocabulary):
-        return vocabulary, np.zeros((0, 1), np.float32)
-    width = min(RANK + OVERSAMPLE, len(kept), len(vocabulary))
-    basis = np.random.default_rng(1).standard_normal((len(vocabulary), width)).astype(np.float32)
-    table = spark.createDataFrame([(p,) for p in kept if p], "buckets array<int>").repartition(min(8, spark.sparkContext.defaultParallelism))
-    own = idf[vocabulary]
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((vocabulary, own, np.linalg.qr(basis)[0].astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            vocab, w, q = shared.value
-            total = np.zeros_like(q)
-            for batch in batches:
-                for row in batch.column(0).to_pylist():
-                    at, tf = np.unique(np.searchsorted(vocab, row), return_counts=True)
-                    x = tf * w[at]
-                    x /= np.linalg.norm(x) or 1
-                    total[at] += np.outer(x, x @ q[at])
-            for lo in range(0, len(total), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([total[lo : lo + 4096].tobytes()], pa.binary())], names=["lo", "part"])
-
-        def add(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b, np.float32) for b in group.column("part").to_pylist())
-            return pa.table({"lo": group.column("lo")[:1], "part": pa.array([total.tobytes()], pa.binary())})
-
-        parts = table.mapInArrow(run, "lo long, part binary").groupBy("lo").applyInArrow(add, "lo long, part binary").collect()
-        basis = np.concatenate([np.frombuffer(r["part"], np.float32).reshape(-1, width) for r in sorted(parts, key=lambda r: r["lo"])])
-        shared.unpersist()
-    u, s, _ = np.linalg.svd(basis, full_matrices=False)
-    rank = max(1, min(RANK, int((s > s[0] * 1e-6).sum())))
-    return vocabulary, np.ascontiguousarray(u[:, :rank], dtype=np.float32)
+class _Item:
+    """What verifies one item: its distinct words, how often it has each, and each one's share of the squared weight."""
+
+    def __init__(self, item_id: int, words: np.ndarray, answer: np.ndarray, idf: np.ndarray):
+        self.id, self.words, self.answer = item_id, words, answer
+        self.distinct, self.times = np.unique(words, return_counts=True)
+        square = (self.times * idf[_bucket(self.distinct)]) ** 2
+        #: Without weighted words it must be there word after word.
+        self.plain = not square.any()
+        self.share = square / (square.sum() or 1)
+        self.need = len(words) if self.plain or len(words) < SHORT else int(np.ceil(MIN_COMMON * len(words) - 1e-9))
+
+    def verify(self, region: np.ndarray) -> tuple[float, float, float] | None:
+        """(cosine, common share, answer share) of a region in which the item is."""
+        at = np.minimum(np.searchsorted(self.distinct, region), len(self.distinct) - 1)
+        there = np.bincount(at[self.distinct[at] == region], minlength=len(self.distinct))
+        if np.minimum(there, self.times).sum() < self.need:
+            return None
+        if self.plain:
+            n = len(self.words)
+            starts = np.flatnonzero(region[: len(region) - n + 1] == self.words[0])
+            right = _common(self.answer.tolist(), region.tolist()) / len(self.answer)
+            return (1.0, 1.0, right) if right >= MIN_ANSWER and any((region[i : i + n] == self.words).all() for i in starts) else None
+        cosine = float(np.sqrt(self.share[there > 0].sum()))
+        if cosine < MIN_COSINE:
+            return None
+        text = region.tolist()
+        common = _common(self.words.tolist(), text)
+        right = _common(self.answer.tolist(), text) / len(self.answer)
+        return (round(min(cosine, 1.0), 4), common / len(self.words), right) if common >= self.need and right >= MIN_ANSWER else None
 
 
 class _Index:
-    """The latent images of a block of benchmark passages, and the items' words for verification; one per block."""
-
-    def __init__(self, vocabulary, basis, idf, items):
-        self.idf, self.basis, self.items = idf, basis, items
-        self.slot = np.full(BUCKETS, -1, np.int32)
-        self.slot[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-        owner, images = [], []
-        for k, (_, words, _) in enumerate(items):
-            last = max(0, len(words) - QUERY)
-            for lo in sorted({*range(0, last, STEP), last}):
-                x, _ = self._vectors(_bucket(words[lo : lo + QUERY]), np.array([0]))
-                n = np.linalg.norm(x[0])
-                if n > 0:
-                    owner.append(k), images.append(x[0] / n)
-        self.owner, self.images = np.array(owner, np.int64), np.array(images, np.float32).reshape(len(images), basis.shape[1]).T.copy()
-
-    def _vectors(self, bucket: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Latent vectors and squared weights of consecutive runs of words."""
-        weight = self.idf[bucket]
-        square = np.add.reduceat(weight * weight, first)
-        slot = self.slot[bucket]
-        known = np.flatnonzero((slot >= 0) & (weight > 0))
-        out = np.zeros((len(first), self.basis.shape[1]), np.float32)
-        if len(known):
-            run = np.searchsorted(first, known, "right") - 1
-            start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-            for lo in range(0, len(start), 2048):
-                a, b = start[lo], start[lo + 2048] if lo + 2048 < len(start) else len(known)
-                rows = self.basis[slot[known[a:b]]] * weight[known[a:b], None]
-                out[run[start[lo : lo + 2048]]] = np.add.reduceat(rows, start[lo : lo + 2048] - a, axis=0)
-        return out, square
+    """The rarest words of a block of benchmark items, and the items for verification; one per block."""
+
+    def __init__(self, frequency: np.ndarray, items: list[_Item]):
+        self.items = items
+        word, owner, times, self.least, self.reach = [], [], [], [], []
+        for k, item in enumerate(items):
+            rare = np.argsort(frequency[_bucket(item.distinct)], kind="stable")
+            missing = len(item.words) - item.need
+            had = np.cumsum(item.times[rare])
+            cut = int(np.searchsorted(had, missing + min(BEYOND, item.need))) + 1
+            word.append(item.distinct[rare[:cut]]), owner.append(np.full(cut, k)), times.append(item.times[rare[:cut]])
+            self.least.append(int(had[cut - 1]) - missing)
+            self.reach.append(len(item.words) // STEP + 1)
+        word, owner, times = np.concatenate(word), np.concatenate(owner), np.concatenate(times)
+        order = np.argsort(word, kind="stable")
+        self.vocabulary, first = np.unique(word[order], return_index=True)
+        self.first, self.owner, self.times = np.r_[first, len(word)], owner[order], times[order]
+        self.least, self.reach = np.array(self.least), np.array(self.reach)
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def _regions(self, h: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, step) of the first counted word of every region that may hold the item."""
+        hit = np.flatnonzero(self.seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.vocabulary, h[hit]), len(self.vocabulary) - 1)
+        same = self.vocabulary[slot] == h[hit]
+        pairs = np.unique(run[hit[same]] * len(self.vocabulary) + slot[same])
+        step, slot = np.divmod(pairs, len(self.vocabulary))
+        many = self.first[slot + 1] - self.first[slot]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - self.first[slot], many)
+        span = WINDOW // STEP + 2 * self.reach + 1
+        width = int(run[-1]) + 1 + int(span.max()) + 1
+        key = self.owner[at] * width + np.repeat(step, many)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        item, times = key // width, np.r_[0, np.cumsum(self.times[at])]
+        end = np.searchsorted(key, key + span[item], "right")
+        # Counted with repeats first, and where those are enough, each word once.
+        lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)] & (times[end] - times[:-1] >= self.least[item]))
+        out = [np.zeros(0, np.int64)]
+        for part in np.array_split(lo, max(1, len(lo) >> 16)):
+            many = end[part] - part
+            of = np.repeat(np.arange(len(part)), many)
+            once = np.unique(of * len(self.times) + at[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - part, many)])
+            had = np.bincount(once // len(self.times), self.times[once % len(self.times)], minlength=len(part))
+            out.append(part[had >= self.least[item[part]]])
+        lo = np.concatenate(out)
+        return item[lo], key[lo] % width
 
     def matches(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
         """(text, item, cosine, common share, answer share, first word) of what is verified; per text and item the best."""
         doc, h = _plain_words(data, bounds)
-        if not len(doc) or not len(self.owner):
+        if not len(doc):
             return []
         step = _place(doc) // STEP
-        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])])
-        vec, square = self._vectors(_bucket(h), first)
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])]
+        first, run = np.flatnonzero(new), np.cumsum(new) - 1
         of = doc[first]
-        for shift in (1, 2):  # a window is a step and those after it in the same text
-            same = np.flatnonzero(of[shift:] == of[:-shift])
-            if shift == 1:
-                wide, norm = vec.copy(), square.copy()
-            wide[same] += vec[same + shift]
-            norm[same] += square[same + shift]
-        size = np.sqrt(np.maximum(norm, 1e-12))
-        live = np.flatnonzero(np.einsum("ij,ij->i", wide, wide) >= (MIN_COSINE * size) ** 2)
+        text_start, text_end = np.searchsorted(doc, of, "left"), np.searchsorted(doc, of, "right")
+        item, at = self._regions(h, run)
+        back = self.reach[item] + WINDOW // STEP
+        many = back + self.reach[item] + 1
+        near = np.repeat(at - back, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        inside = (near >= 0) & (near < len(first))
+        near, item, at = near[inside], np.repeat(item, many)[inside], np.repeat(at, many)[inside]
+        same = of[near] == of[at]
         best: dict[tuple[int, int], tuple] = {}
-        text_end = np.searchsorted(doc, of, "right")
-        text_start = np.searchsorted(doc, of, "left")
-        for lo in range(0, len(live), 4096):
-            own = live[lo : lo + 4096]
-            cosine = (wide[own] @ self.images) / size[own, None]
-            for r, c in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
-                w, k = own[r], self.owner[c]
-                item, words, answer = self.items[k]
-                a = max(text_start[w], first[w] - len(words))
-                b = min(text_end[w], first[w] + WINDOW + len(words))
-                key = (int(of[w]), int(k))
-                if key in best and best[key][2] == 1.0 and best[key][3] == 1.0:
-                    continue
-                region = h[a:b].tolist()
-                common = _common(words.tolist(), region) / len(words)
-                right = _common(answer.tolist(), region) / len(answer)
-                need = MIN_COMMON if len(words) >= SHORT else 1.0
-                if common >= need and right >= MIN_ANSWER:
-                    found = (round(float(cosine[r, c]), 4), key, common, right, int(a - text_start[w]))
-                    if key not in best or (common, right) > best[key][2:4]:
-                        best[key] = found
-        return [(d, self.items[k][0], v[0], v[2], v[3], v[4]) for (d, k), v in sorted(best.items())]
+        for pair in np.unique(item[same] * len(first) + near[same]).tolist():
+            k, w = divmod(pair, len(first))
+            key = (int(of[w]), k)
+            if key in best and best[key][1:3] == (1.0, 1.0):
+                continue
+            n = len(self.items[k].words)
+            a, b = max(text_start[w], first[w] - n), min(text_end[w], first[w] + WINDOW + n)
+            found = self.items[k].verify(h[a:b])
+            if found and (key not in best or found[1:] > best[key][1:3]):
+                best[key] = (*found, int(a - text_start[w]))
+        return [(d, self.items[k].id, *v) for (d, k), v in sorted(best.items())]
 
 
 def _common(pattern: list[int], text: list[int]) -> int:
@@ -271,34 +252,27 @@ def _answer(text: str, given: str | None) -> np.ndarray:
 
 def indexes(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None) -> list[_Index]:
     """What the tasks need to search, one per block of benchmark items."""
-    spark = docs.sparkSession
-    frequency, total, sample = statistics(docs)
+    frequency, total = statistics(docs)
     idf = weights(frequency, total)
     rows = benchmark.where("item_id is not null").select("item_id", "text", F.col(answer_col) if answer_col else F.lit(None).cast("string").alias("answer"))
-    out, block, used, basis = [], [], 0, None
-    fit: list[list[int]] = []
+    out, block = [], []
     for r in rows.orderBy("item_id").toLocalIterator():
         words = _words_of(r[1])
         if not len(words):
             continue
-        if len(fit) < FIT_ITEMS:
-            fit += [_bucket(words[lo : lo + QUERY]).tolist() for lo in range(0, len(words), QUERY)]
-        block.append((r[0], words, _answer(r[1], r[2])))
-        used += 1 + len(words) // STEP
-        if used >= BLOCK:
-            basis = basis or latent_basis(spark, fit + sample, idf)
-            out.append(_Index(*basis, idf, block))
-            block, used = [], 0
+        block.append(_Item(r[0], words, _answer(r[1], r[2]), idf))
+        if len(block) >= BLOCK:
+            out.append(_Index(frequency, block))
+            block = []
     if block:
-        basis = basis or latent_basis(spark, fit + sample, idf)
-        out.append(_Index(*basis, idf, block))
+        out.append(_Index(frequency, block))
     return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """One row per document and benchmark item found in it: ``doc_id, item_id, cosine, common, answer, first_word``.
 
-    ``common`` and ``answer`` are the shares of the item's and its answer's words that follow in order near the place.
+    ``cosine`` is that of the item with its own words near the place (1 for an item of common words only); ``common`` and ``answer`` are the shares of the item's and its answer's words that follow in order near the place.
     Null and empty texts hold nothing, and items without words are in nothing; repeated rows are reported as often as
     they occur; null ids are reported with null ids; other columns are ignored; an empty table on either side gives no rows.
     """

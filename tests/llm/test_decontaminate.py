@@ -71,3 +71,42 @@ def test_odd_rows(spark, tables):
     left = clean(docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 4, 6]
     assert matches(docs.limit(0), bench).count() == 0 and matches(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_many_items(spark, tables, n):
+    """The last items of a long benchmark: exact copies of 7, 10 and more words all found, paraphrases at 0.9 or more."""
+    docs, _ = tables
+    r = random.Random(n)
+    more = [plain(x.text) for x in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000).collect()]
+    more = [w for w in more if len(w) >= 60]
+    pool = [w for d in docs.limit(50).collect() for w in (d.text or "").split()]
+    items, rows, exact, changed = [], [], set(), set()
+    for i in range(n):
+        w = r.choice(more)
+        size = r.choice([7, 10, 30, 50])
+        at = r.randrange(len(w) - size + 1)
+        w = w[at : at + size]
+        items.append((i, " ".join(w)))
+        if i < n - 150:
+            continue
+        (exact if size < 15 or i % 2 else changed).add((20_000 + i, i))
+        if (20_000 + i, i) in changed:
+            w = [y for x in w for u in [r.random()] for y in ([] if u < 0.07 else [r.choice(pool)] if u < 0.14 else [x, r.choice(pool)] if u < 0.2 else [x])]
+        rows.append((20_000 + i, " ".join(r.choices(pool, k=r.randint(0, 200)) + w + r.choices(pool, k=r.randint(0, 200)))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    every = docs.select("doc_id", "text").limit(300).union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(8)
+    got = {(x.doc_id, x.item_id) for x in matches(every, bench).collect()}
+    assert exact <= got
+    assert len(changed & got) >= 0.9 * len(changed)
+
+
+def test_items_of_common_words(spark, tables):
+    """Words in more than a twentieth of the passages: found word after word in a large corpus as in a small one."""
+    docs, _ = tables
+    text = "alpha beta gamma delta epsilon zeta eta theta iota"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    common = docs.select((F.col("doc_id") + 50_000).alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(" ".join(reversed(text.split())) + " "), F.substring("text", 1 + 300 * k, 300)) for k in range(5)]).alias("text"))
+    own = spark.createDataFrame([(1, f"before it {text} and after"), (2, text.replace("delta", "delta x"))], "doc_id long, text string")
+    assert {x.doc_id for x in matches(common.union(own), bench).collect()} == {1}
+    assert 1 in {x.doc_id for x in matches(common.limit(3).union(own), bench).collect()}
