@@ -52,3 +52,15 @@ def test_empty_and_short_templates(spark):
     assert scan(none).count() == 0
     with pytest.raises(ValueError):
         scan(none, {"short": "only four words here"})
+
+
+def test_every_surrounding_of_a_short_template(spark):
+    """Whole occurrences at every offset, with different words around: all found, as brute force finds them."""
+    r = random.Random(7)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    nine = {"nine": "one two three four five six seven eight nine", "mit-line": TEMPLATES["mit-line"]}
+    rows = [(i, f"{words(r.randint(0, 40))} {nine['nine' if i % 3 == 0 else 'mit-line']} {words(r.randint(0, 40))}") for i in range(6000)]
+    rows += [(6000 + i, f"{words(i)} {body} {words(r.randint(0, 300))}") for i, body in enumerate(sorted(TEMPLATES.values()) * 20)]
+    every = TEMPLATES | nine
+    got = {(x.doc_id, x.license): (x.share, x.first_word) for x in scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), every).collect()}
+    assert got == brute(rows, every)
