@@ -172,3 +172,61 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marklens.llm import pii
 
     return _span_digests(pii.scan(documents(spark, sf_dir)), pii.BASE)
+
+
+@query
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm import warc
+
+    return warc.archive_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+TWINS["op11_warc_packages"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM p),
+t AS (SELECT *, n >= 1000 AND first IS NOT NULL AND (page_id IS NULL OR page_id < first) AS again FROM g)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to, url FROM t
+"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings whose entries are all finite, as whole numbers ``x``."""
+    from marklens.llm import vectors
+
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return given.where(vectors.finite("embedding")).select("vec_id", "label", vectors.whole_numbers("embedding").alias("x"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm import negatives
+
+    rows = _vectors(spark, sf_dir).withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, "vec_id", positives=5, negatives=10, low=30, high=90)
+
+
+TWINS["op12_hard_negatives"] = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))), true)
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same AND other <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marklens.llm import whitening
+
+    return whitening.whiten(_vectors(spark, sf_dir), "vec_id", components=4).withColumnRenamed("id", "vec_id")
