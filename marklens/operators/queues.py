@@ -1,15 +1,19 @@
-"""Review queues: signals as strategies, budgets, metrics over grids, random references."""
+"""Review queues: signals as strategies, budgets, metrics over grids, subgroups under random queues."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklens.functions.draws import hypergeometric_draws, uniform
 from marklens.functions.metrics import queue_columns, safe_ratio
-from marklens.operators.order import budget_size, quantiles, rank_rows, seeded_key, select_by_key, spread, with_row
+from marklens.operators.order import budget_size, quantiles, rank_rows, with_row
 from marklens.schema import BUDGETS, PRIMARY_BUDGET, THRESHOLDS
+from marklens.session import materialise
 
 
 def linear_centres(reference: DataFrame) -> DataFrame:
@@ -98,17 +102,6 @@ def sensitivity_grid(
     )
 
 
-def random_queues(
-    df: DataFrame, draws: int, budget: float, seed: int | str, keep: Sequence[str], by: Sequence[str] = ()
-) -> DataFrame:
-    """Members of ``draws`` uniform queues without replacement, drawn in md5 order per draw (and group)."""
-    reps = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
-    rows = spread(df, "item_id").select("item_id", *by, *[k for k in keep if k not in by], reps)
-    rows = rows.withColumn("_key", seeded_key(seed, "draw", "item_id"))
-    picked = select_by_key(rows, "_key", "item_id", budget_size("group_n", budget), ["draw", *by])
-    return picked.drop("_key")
-
-
 def overlap(df: DataFrame, a: Column, b: Column, positive: Column) -> list[Column]:
     """Intersection, Jaccard and positives in the four cells of two queues."""
     both, either = F.count_if(a & b), F.count_if(a | b)
@@ -144,18 +137,61 @@ def cutoff_audit(selected: DataFrame, score: str) -> DataFrame:
 
 
 def subgroup_random_capture(
-    df: DataFrame, attributes: Sequence[str], draws: int, budget: float, seed: int | str, minimum: int = 20
+    df: DataFrame, attributes: Sequence[str], draws: int, budget: float, seed: int, minimum: int = 20, few: int = 10
 ) -> DataFrame:
-    """Mean capture inside each subgroup under the same global random queues."""
-    packed = F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("grp")) for a in attributes]))
-    totals = df.select("large", packed).groupBy("attribute", "grp").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("large").alias("positives")
-    ).where(F.col("n") >= minimum)
-    picked = random_queues(df, draws, budget, seed, [*attributes, "large"]).where("large")
-    hits = picked.select(packed).groupBy("attribute", "grp").agg(F.count(F.lit(1)).alias("_hits"))
-    out = totals.join(hits, ["attribute", "grp"], "left")
-    rate = F.try_divide(F.coalesce("_hits", F.lit(0)).cast("double"), F.col("positives") * F.lit(draws).cast("double"))
-    return out.select("attribute", "grp", "n", "positives", rate.alias("mean_capture"))
+    """Queue and mean random queue inside each subgroup, one row per attribute and group.
+
+    Expects flags ``large`` and ``selected``.  A global random queue of ``ceil(budget * n)`` items falls into the cells
+    (group, label) of an attribute by the multivariate hypergeometric law; it is drawn cell after cell from what is
+    left, in the order of group and label, each draw once for all cells.  Groups under ``minimum`` are listed without
+    figures, groups with fewer than ``few`` positives carry a note.  The cells of an attribute are few and one array.
+    """
+    packed = F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("grp")) for a in attributes]))
+    per = df.select("large", "selected", packed).groupBy("attribute", "grp").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("large").alias("positives"), F.count_if("selected").alias("selected"),
+        F.count_if(F.col("large") & F.col("selected")).alias("caught"),
+    )
+    per = materialise(per, "subgroups")
+    cells = per.groupBy("attribute").agg(F.sort_array(F.collect_list(F.struct("grp", "n", "positives"))).alias("cells"))
+    number = F.array_position(F.lit(list(attributes)), F.col("attribute"))
+    rows = cells.select("attribute", number.alias("at"), "cells", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+
+    @F.pandas_udf("array<struct<grp: string, drawn: bigint, hit: bigint>>")
+    def drawn(at: pd.Series, cells: pd.Series, draw: pd.Series) -> pd.Series:
+        out = [None] * len(at)
+        for number, rows in at.groupby(at).groups.items():
+            places = at.index.get_indexer(rows)
+            groups = cells.loc[rows[0]]
+            rep = draw.loc[rows].to_numpy()
+            left = np.full(len(rows), sum(g["n"] for g in groups))
+            open_ = np.ceil(left * budget).astype(np.int64)
+            got = []
+            for i, g in enumerate(groups):
+                took = []
+                for label, size in ((0, g["n"] - g["positives"]), (1, g["positives"])):
+                    key = np.full(len(rows), (number * 1_000_003 + i) * 2 + label)
+                    x = hypergeometric_draws(left, np.full(len(rows), size), open_, uniform(key, rep, seed))
+                    left, open_ = left - size, open_ - x
+                    took.append(x)
+                got.append(took)
+            for r, place in enumerate(places):
+                out[place] = [{"grp": g["grp"], "drawn": int(t[0][r] + t[1][r]), "hit": int(t[1][r])} for g, t in zip(groups, got)]
+        return pd.Series(out)
+
+    spread_rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "draw")
+    means = spread_rows.select("attribute", F.inline(drawn("at", "cells", "draw"))).groupBy("attribute", "grp").agg(
+        F.avg("hit").alias("random_mean_caught"), F.avg("drawn").alias("random_mean_selected")
+    )
+    same = (F.col("p.attribute") == F.col("m.attribute")) & F.col("p.grp").eqNullSafe(F.col("m.grp"))
+    out = per.alias("p").join(means.alias("m"), same).select("p.*", "random_mean_caught", "random_mean_selected")
+    shown = F.col("n") >= minimum
+    told = {
+        "caught": F.col("caught"), "selected": F.col("selected"), "capture": safe_ratio(F.col("caught"), F.col("positives")), "selection_rate": safe_ratio(F.col("selected"), F.col("n")),
+        "random_mean_caught": F.col("random_mean_caught"), "random_mean_capture": F.try_divide(F.col("random_mean_caught"), F.col("positives").cast("double")),
+        "random_mean_selected": F.col("random_mean_selected"), "random_mean_rate": F.col("random_mean_selected") / F.col("n"),
+        "note": F.when(F.col("positives") < few, F.lit("few positives")).otherwise(F.lit("descriptive")),
+    }
+    return out.select("attribute", "grp", "n", "positives", shown.alias("reported"), *[F.when(shown, v).alias(k) for k, v in told.items()])
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], score: Column, key: str, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marklens.functions import draws as D
 from marklens.functions import scalars as S
 from marklens.operators import bootstrap as B
 from marklens.operators import chance as X
@@ -14,21 +15,40 @@ from marklens.plans.metric_queries import _STRATS, _ranked_strategies
 from marklens.plans.registry import query
 from marklens.plans.sqltext import n_if, r, rounded
 from marklens.plans.views import scored, with_signals, with_views
+from marklens.session import materialise
 
 c = F.col
-DRAWS, REPS, CLUSTER_REPS, SEED = 20, 20, 500, 42
+DRAWS, REPS, SEED = 1000, 2000, 42
 
-_DR = f"dr AS (SELECT unnest(generate_series(1, {DRAWS}))::INT AS draw)"
-_K1 = f"""{_DR}, k AS (SELECT draw, large, row_number() OVER (PARTITION BY draw ORDER BY md5('42:' || draw || ':' || item_id), item_id) AS rn, count(*) OVER (PARTITION BY draw) AS n FROM signals, dr),
-ds AS (SELECT draw, {n_if('rn<=ceil(n*0.2::DOUBLE)')} AS selected_count, {n_if('large AND rn<=ceil(n*0.2::DOUBLE)')} AS captured, count(*) AS n, {n_if('large')} AS positives FROM k GROUP BY draw)"""
+
+def _choose(a: str, b: str) -> str:
+    return f"(lgamma(({a})+1.0)-lgamma(({b})+1.0)-lgamma(({a})-({b})+1.0))"
+
+
+def _pmf_sql(n: str, pos: str, k: str, x: str) -> str:
+    return f"exp({_choose(pos, x)}+{_choose(f'{n}-{pos}', f'{k}-{x}')}-{_choose(n, k)})"
+
+
+def _captures_sql(counts: str) -> str:
+    """CTE ``ds`` (key, draw, captured) from counts (key, n, positives, k): the inverse of each law at a hashed uniform."""
+    return (
+        f"hs AS (SELECT *, unnest(generate_series(greatest(0, k+positives-n)::BIGINT, least(k, positives)::BIGINT)) AS x FROM {counts}), hp AS (SELECT key, x, {_pmf_sql('n', 'positives', 'k', 'x')} AS p FROM hs), "
+        "hc AS (SELECT key, x, coalesce(sum(p) OVER (PARTITION BY key ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)/sum(p) OVER (PARTITION BY key) AS before FROM hp), "
+        f"du AS (SELECT c.*, draw, {D.uniform_sql('key', 'draw', SEED)} FROM {counts} c, (SELECT unnest(generate_series(1, {DRAWS}))::BIGINT AS draw)), "
+        "ds AS (SELECT du.key, n, positives, k, draw::INT AS draw, x AS captured FROM du ASOF JOIN hc ON du.key = hc.key AND du.u >= hc.before)"
+    )
+
+
+_ALL = f"qc AS (SELECT 0::BIGINT AS key, count(*) AS n, {n_if('large')} AS positives, ceil(count(*)*0.2::DOUBLE)::BIGINT AS k FROM signals)"
+_K1 = f"{_ALL}, {_captures_sql('qc')}"
 
 
 def _draws(spark, sf):
     s = with_signals(spark, sf).select("item_id", "large")
-    return X.draw_metrics(s, Q.random_queues(s, DRAWS, 0.2, SEED, ["large"]))
+    return X.draw_metrics(X.random_captures(X.queue_counts(s, 0.2), DRAWS, SEED)).drop("key")
 
 
-@query("k1_random_queues", with_views("signals", f"WITH {_K1} SELECT draw, selected_count, captured, n, positives, {r('captured/positives', 'capture_rate')}, {r('captured/selected_count', 'precision')}, {r('(captured::DOUBLE*n)/(selected_count::DOUBLE*positives)', 'lift')} FROM ds"))
+@query("k1_random_queues", with_views("signals", f"WITH {_K1} SELECT draw, k AS selected_count, captured, n, positives, {r('captured/positives', 'capture_rate')}, {r('captured/k', 'precision')}, {r('(captured::DOUBLE*n)/(k::DOUBLE*positives)', 'lift')} FROM ds"))
 def _k1(spark, sf):
     return rounded(_draws(spark, sf))
 
@@ -54,14 +74,6 @@ def _k3(spark, sf):
     return rounded(X.expected_capture(X.fold_counts(_fold_rows(spark, sf), ["cv_fold"]), "cv_fold"))
 
 
-_LC = "(lgamma({a}+1.0)-lgamma({b}+1.0)-lgamma({a}-{b}+1.0))"
-
-
-def _pmf_sql(n: str, pos: str, k: str, x: str) -> str:
-    ch = lambda a, b: f"(lgamma(({a})+1.0)-lgamma(({b})+1.0)-lgamma(({a})-({b})+1.0))"
-    return f"exp({ch(pos, x)}+{ch(f'{n}-{pos}', f'{k}-{x}')}-{ch(n, k)})"
-
-
 @query("k4_hypergeometric_tail", with_views("signals", f"""WITH {_STRATS}, m AS (SELECT strategy, count(*) AS n, {n_if('large')} AS positives, {n_if('rank<=ceil(n_all*0.2::DOUBLE)')} AS k, {n_if('large AND rank<=ceil(n_all*0.2::DOUBLE)')} AS caught FROM rk GROUP BY strategy),
 e AS (SELECT *, unnest(generate_series(caught, least(k, positives))) AS x FROM m)
 SELECT strategy, n, positives, k, caught, round(sum({_pmf_sql('n', 'positives', 'k', 'x')}), 7) AS tail_p FROM e GROUP BY ALL"""))
@@ -86,15 +98,14 @@ def _k5(spark, sf):
     return out.select("signal", "caught", F.round("expected", 9).alias("expected"), F.round("tail_p", 7).alias("tail_p"))
 
 
-_K6 = f"""{_DR}, k AS (SELECT draw, cv_fold, large, row_number() OVER (PARTITION BY draw, cv_fold ORDER BY md5('42:' || draw || ':' || item_id), item_id) AS rn, count(*) OVER (PARTITION BY draw, cv_fold) AS n FROM signals, dr WHERE cv_fold IS NOT NULL),
-js AS (SELECT draw, {n_if('large AND rn<=ceil(n*0.2::DOUBLE)')} AS captured FROM k GROUP BY draw)"""
+_K6 = f"""qc AS (SELECT row_number() OVER (ORDER BY cv_fold) AS key, n, positives, k FROM fc), {_captures_sql('qc')}, js AS (SELECT draw, sum(captured) AS captured FROM ds GROUP BY draw)"""
 
 
 @query("k6_joint_draw_tail", with_views("signals", f"""WITH {_FOLDQ}, {_K6}, o AS (SELECT CAST(sum(caught) AS BIGINT) AS observed FROM fc)
 SELECT observed, {n_if('captured>=observed')} AS at_least, count(*) AS draws, {r('avg((captured>=observed)::INT)', 'p')} FROM js, o GROUP BY observed"""))
 def _k6(spark, sf):
     s = with_signals(spark, sf).where(c("cv_fold").isNotNull()).select("item_id", "cv_fold", "large")
-    joint = Q.random_queues(s, DRAWS, 0.2, SEED, ["large"], ["cv_fold"]).groupBy("draw").agg(F.count_if("large").alias("captured"))
+    joint = X.random_captures(X.queue_counts(s, 0.2, ["cv_fold"]), DRAWS, SEED).groupBy("draw").agg(F.sum("captured").alias("captured"))
     seen = X.fold_counts(_fold_rows(spark, sf), ["cv_fold"]).agg(F.sum("caught").alias("observed"))
     return rounded(X.empirical_tail(joint, seen))
 
@@ -107,58 +118,78 @@ def _k7(spark, sf):
     return rounded(X.empirical_tail(_draws(spark, sf), seen))
 
 
-# ---- bootstraps: Poisson multiplicities from the same md5 uniforms in both engines -----------------
+# ---- bootstraps: Poisson weights of cells from the same hashed uniforms in both engines ------------
 
-_U = "(('0x' || substr(md5('42:' || rep || ':' || {key}), 1, 8))::BIGINT/4294967296.0::DOUBLE)"
-_W = "(" + " + ".join("({u} >= " + repr(cut) + ")::INT" for cut in B.POISSON_CUTS) + ")"
 
+def _cells_sql(columns: dict[str, str], source: str) -> str:
+    """CTEs of the weighted cells of ``source``: ``rw`` with the columns, rep and w; replicate 0 is the sample."""
+    cols = ", ".join(f"{e} AS {n}" for n, e in columns.items())
+    return D.weights_sql(f"SELECT {', '.join(columns)}, count(*) AS m, min(item_no)::BIGINT AS key FROM (SELECT item_no, {cols} FROM {source}) GROUP BY ALL", REPS, SEED)
 
-def _rep_sql(cols: str, source: str) -> str:
+
+def _est(v: str) -> str:
+    of = lambda f, *more: f"{f}({', '.join([v, *more])}) FILTER (WHERE rep > 0)"
     return (
-        f"rp AS (SELECT unnest(generate_series(1, {REPS}))::INT AS rep), ru AS (SELECT rep, {cols}, {_U.format(key='item_id')} AS u FROM {source}, rp), "
-        f"rw AS (SELECT * EXCLUDE (u), {_W.format(u='u')} AS w FROM ru WHERE {_W.format(u='u')} > 0)"
+        f"{r(f'max({v}) FILTER (WHERE rep = 0)', 'estimate')}, {r(of('avg'), 'mean')}, {r(of('quantile_cont', '0.025'), 'low')}, {r(of('quantile_cont', '0.975'), 'high')}, "
+        f"count({v}) FILTER (WHERE rep > 0) AS valid, count(*) FILTER (WHERE rep > 0)-count({v}) FILTER (WHERE rep > 0) AS skipped"
     )
 
 
-_SIGS = "sg AS (SELECT rep, w, large, 'disagreement' AS signal, d_max AS score FROM rw UNION ALL SELECT rep, w, large, 'negative_words', -word_count FROM rw)"
-_AB = f"""{_rep_sql('large, d_max, word_count', 'signals')}, {_SIGS}, v AS (SELECT signal, rep, score, sum(w) FILTER (WHERE large) AS pos, sum(w) FILTER (WHERE NOT large) AS neg FROM sg GROUP BY ALL),
-cu AS (SELECT signal, rep, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, sum(coalesce(neg, 0)) OVER (PARTITION BY signal, rep ORDER BY score) AS cn FROM v),
-au AS (SELECT signal, rep, sum(pos*(cn-neg/2))/(sum(pos)::DOUBLE*sum(neg)) AS auroc FROM cu GROUP BY ALL)"""
+def _auroc_sql(rows: str, by: str) -> str:
+    """CTE ``au`` (by..., rep, auroc) from rows (by..., rep, score, large, w)."""
+    return f"""av AS (SELECT {by}, rep, score, coalesce(sum(w) FILTER (WHERE large), 0) AS pos, coalesce(sum(w) FILTER (WHERE NOT large), 0) AS neg FROM {rows} GROUP BY ALL),
+ac AS (SELECT *, sum(neg) OVER (PARTITION BY {by}, rep ORDER BY score) AS cn FROM av), au AS (SELECT {by}, rep, sum(pos*(cn-neg/2))/nullif(sum(pos)::DOUBLE*sum(neg), 0) AS auroc FROM ac GROUP BY ALL)"""
 
 
-def _ci(value: str) -> str:
-    return f"{r(f'avg({value})', 'mean')}, {r(f'quantile_cont({value}, 0.025)', 'low')}, {r(f'quantile_cont({value}, 0.975)', 'high')}, count({value}) AS valid, count(*)-count({value}) AS skipped"
+_AB = f"""{_cells_sql({'large': 'large', 'd': 'd_max', 'words': 'word_count'}, 'signals')},
+sg AS (SELECT rep, w, large, 'disagreement' AS signal, d AS score FROM rw UNION ALL SELECT rep, w, large, 'negative_words', -words FROM rw), {_auroc_sql('sg', 'signal')}"""
 
 
 def _auroc_draws(spark, sf):
-    s = with_signals(spark, sf).select("item_id", "large", "d_max", "word_count")
+    s = with_signals(spark, sf).select("item_no", "large", "d_max", "word_count")
     return B.auroc_bootstrap(s, {"disagreement": c("d_max"), "negative_words": -c("word_count")}, REPS, SEED)
 
 
-@query("k8_auroc_bootstrap", with_views("signals", f"WITH {_AB} SELECT signal, {_ci('auroc')} FROM au GROUP BY signal"))
+@query("k8_auroc_bootstrap", with_views("signals", f"WITH {_AB} SELECT signal, {_est('auroc')} FROM au GROUP BY signal"))
 def _k8(spark, sf):
-    return rounded(X.intervals(_auroc_draws(spark, sf), "auroc", ["signal"]))
+    return rounded(B.estimates(_auroc_draws(spark, sf), "auroc", ["signal"]))
 
 
-_K9 = f"""qd AS (SELECT item_id, large, row_number() OVER (ORDER BY d_max DESC, item_id) <= ceil(count(*) OVER ()*0.2::DOUBLE) AS old, row_number() OVER (ORDER BY d_mean DESC, item_id) <= ceil(count(*) OVER ()*0.2::DOUBLE) AS new,
-ceil(count(*) OVER ()*0.2::DOUBLE)/count(*) OVER () AS rate FROM signals), {_rep_sql('large, old, new, rate', 'qd')},
-bt AS (SELECT rep, sum(w) FILTER (WHERE large AND old) AS co, sum(w) FILTER (WHERE large AND new) AS cn, sum(w) FILTER (WHERE large) AS pk, sum(w*rate) FILTER (WHERE large) AS ex FROM rw GROUP BY rep),
-lg AS (SELECT 'delta_caught' AS metric, (cn-co)::DOUBLE AS v FROM bt UNION ALL SELECT 'delta_capture', (cn-co)/pk FROM bt UNION ALL SELECT 'new_excess', cn-ex FROM bt UNION ALL SELECT 'old_excess', co-ex FROM bt)"""
+_DELTAS = ("delta_caught", "delta_capture", "new_excess", "old_excess", "auroc_old", "auroc_new", "delta_auroc")
+_K9 = f"""qd AS (SELECT item_no, cv_fold, large, d_max, d_mean, row_number() OVER (PARTITION BY cv_fold ORDER BY d_max DESC, item_id) <= ceil(count(*) OVER (PARTITION BY cv_fold)*0.2::DOUBLE) AS old,
+row_number() OVER (PARTITION BY cv_fold ORDER BY d_mean DESC, item_id) <= ceil(count(*) OVER (PARTITION BY cv_fold)*0.2::DOUBLE) AS new, ceil(count(*) OVER (PARTITION BY cv_fold)*0.2::DOUBLE)/count(*) OVER (PARTITION BY cv_fold) AS rate FROM signals WHERE cv_fold IS NOT NULL),
+{_cells_sql({n: n for n in ('cv_fold', 'large', 'old', 'new', 'rate', 'd_max', 'd_mean')}, 'qd')},
+sc AS (SELECT *, unnest(['fold' || cv_fold, 'pooled']) AS scope FROM rw),
+bt AS (SELECT scope, rep, coalesce(sum(w) FILTER (WHERE large AND old), 0) AS co, coalesce(sum(w) FILTER (WHERE large AND new), 0) AS cn, coalesce(sum(w) FILTER (WHERE large), 0) AS pk, coalesce(sum(w*rate) FILTER (WHERE large), 0) AS ex FROM sc GROUP BY ALL),
+sg AS (SELECT scope, rep, w, large, 'old' AS signal, d_max AS score FROM sc UNION ALL SELECT scope, rep, w, large, 'new', d_mean FROM sc), {_auroc_sql('sg', 'scope, signal')},
+ar AS (SELECT scope, rep, max(auroc) FILTER (WHERE signal = 'old') AS ao, max(auroc) FILTER (WHERE signal = 'new') AS an FROM au GROUP BY ALL),
+bj AS (SELECT bt.*, ao, an FROM bt JOIN ar USING (scope, rep)),
+lg AS ({' UNION ALL '.join(f"SELECT scope, rep, '{m}' AS metric, {e} AS v FROM bj" for m, e in zip(_DELTAS, ('(cn-co)::DOUBLE', '(cn-co)/nullif(pk, 0)', 'round(cn-ex, 9)', 'round(co-ex, 9)', 'ao', 'an', 'an-ao')))})"""
+_SIGNS = f"{{w}}, {n_if('rep > 0 AND v>0')} AS positive, {n_if('rep > 0 AND v=0')} AS zero, {n_if('rep > 0 AND v<0')} AS negative, round(avg((v>0)::INT) FILTER (WHERE rep > 0), 9) AS share_positive"
+_WIDTH = r("quantile_cont(v, 0.975) FILTER (WHERE rep > 0)-quantile_cont(v, 0.025) FILTER (WHERE rep > 0)", "width")
 
 
-@query("k9_queue_difference_bootstrap", with_views("signals", f"""WITH {_K9} SELECT metric, {_ci('v')}, {r('quantile_cont(v, 0.975)-quantile_cont(v, 0.025)', 'width')}, {n_if('v>0')} AS positive, {n_if('v=0')} AS zero, {n_if('v<0')} AS negative, {r('avg((v>0)::INT)', 'share_positive')} FROM lg GROUP BY metric"""))
+@query("k9_queue_difference_bootstrap", with_views("signals", f"""WITH {_K9} SELECT scope, metric, {_est('v')}, {_SIGNS.format(w=_WIDTH)} FROM lg GROUP BY scope, metric"""))
 def _k9(spark, sf):
-    s = with_signals(spark, sf).select("item_id", "large", "d_max", "d_mean")
-    a = queue(s, [F.desc("d_max"), "item_id"], 0.2)
-    a = a.select("item_id", "large", "d_mean", c("selected").alias("old"), (c("queue_size") / c("group_n")).alias("rate"))
-    both = queue(a, [F.desc("d_mean"), "item_id"], 0.2).withColumnRenamed("selected", "new")
-    boot = B.queue_difference_bootstrap(both, REPS, SEED)
-    return rounded(B.sign_shares(boot, ["delta_caught", "delta_capture", "new_excess", "old_excess"]))
+    s = with_signals(spark, sf).where(c("cv_fold").isNotNull()).select("item_id", "item_no", "cv_fold", "large", "d_max", "d_mean")
+    a = queue(s, [F.desc("d_max"), "item_id"], 0.2, ["cv_fold"])
+    a = a.select("item_id", "item_no", "cv_fold", "large", "d_max", "d_mean", c("selected").alias("old"), (c("queue_size") / c("group_n")).alias("rate"))
+    both = queue(a, [F.desc("d_mean"), "item_id"], 0.2, ["cv_fold"]).withColumnRenamed("selected", "new")
+    boot = B.queue_difference_bootstrap(both, c("d_max"), c("d_mean"), REPS, SEED)
+    return rounded(B.sign_shares(boot, _DELTAS, ["scope"]))
+
+
+def _ci(value: str) -> str:
+    return f"{r(f'avg({value})', 'mean')}, {r(f'quantile_cont({value}, 0.025)', 'low')}, {r(f'quantile_cont({value}, 0.975)', 'high')}, count({value}) AS valid, count(*)-count({value}) AS skipped"
+
+
+# clusters are drawn with replacement from the same md5 uniforms in both engines
+_PICK = "(('0x' || substr(md5('42:' || rep || ':' || idx), 1, 8))::BIGINT/4294967296.0::DOUBLE)"
 
 
 @query("k10_cluster_bootstrap", with_views("signals", f"""WITH qd AS (SELECT cluster, large, row_number() OVER (ORDER BY d_max DESC, item_id) <= ceil(count(*) OVER ()*0.2::DOUBLE) AS old, row_number() OVER (ORDER BY d_mean DESC, item_id) <= ceil(count(*) OVER ()*0.2::DOUBLE) AS new FROM signals),
 cl AS (SELECT cluster, {n_if('large AND new')}-{n_if('large AND old')} AS delta, {n_if('large')} AS positives FROM qd GROUP BY cluster), ix AS (SELECT *, row_number() OVER (ORDER BY cluster) AS idx, count(*) OVER () AS c FROM cl),
-sl AS (SELECT rep, CAST(floor({_U.format(key='idx')}*c) AS BIGINT)+1 AS pick FROM (SELECT idx, c, unnest(generate_series(1, {CLUSTER_REPS}))::INT AS rep FROM ix)),
+sl AS (SELECT rep, CAST(floor({_PICK}*c) AS BIGINT)+1 AS pick FROM (SELECT idx, c, unnest(generate_series(1, {REPS}))::INT AS rep FROM ix)),
 bt AS (SELECT rep, CAST(sum(delta) AS DOUBLE) AS delta, sum(delta)/nullif(sum(positives), 0) AS delta_capture FROM sl JOIN ix ON ix.idx=sl.pick GROUP BY rep),
 lg AS (SELECT 'delta' AS metric, delta AS v FROM bt UNION ALL SELECT 'delta_capture', delta_capture FROM bt)
 SELECT metric, {_ci('v')}, {r('quantile_cont(v, 0.975)-quantile_cont(v, 0.025)', 'width')}, {n_if('v>0')} AS positive, {n_if('v=0')} AS zero, {n_if('v<0')} AS negative, {r('avg((v>0)::INT)', 'share_positive')} FROM lg GROUP BY metric"""))
@@ -168,49 +199,71 @@ def _k10(spark, sf):
     both = queue(a, [F.desc("d_mean"), "item_id"], 0.2)
     hit = lambda q: (c("large") & c(q)).cast("bigint")
     sums = {"delta": hit("selected") - hit("old"), "positives": c("large").cast("bigint")}
-    boot = B.cluster_bootstrap(both, "cluster", sums, CLUSTER_REPS, SEED)
+    boot = B.cluster_bootstrap(both, "cluster", sums, REPS, SEED)
     boot = boot.withColumn("delta_capture", F.try_divide(c("delta").cast("double"), c("positives").cast("double")))
-    return rounded(B.sign_shares(boot, ["delta", "delta_capture"]))
+    return rounded(B.sign_shares(boot, ["delta", "delta_capture"]).drop("estimate"))
 
 
-def _wrank(x: str, by: str) -> str:
-    return f"(sum(w) OVER (PARTITION BY {by} ORDER BY {x}) - (sum(w) OVER (PARTITION BY {by}, {x})/2) + 0.5)"
+_WCORR = "(sum(w*a*b)-sum(w*a)*sum(w*b)/sum(w))/sqrt(nullif((sum(w*a*a)-sum(w*a)*sum(w*a)/sum(w))*(sum(w*b*b)-sum(w*b)*sum(w*b)/sum(w)), 0))"
 
 
-_WCORR = "(sum(w*a*b)-sum(w*a)*sum(w*b)/sum(w))/sqrt((sum(w*a*a)-sum(w*a)*sum(w*a)/sum(w))*(sum(w*b*b)-sum(w*b)*sum(w*b)/sum(w)))"
+def _ranks_sql(columns: tuple[str, ...]) -> str:
+    """CTE ``rk``: the rows of ``rw`` with the centred average rank ``k_x`` of every column under multiplicities."""
+    tables = ", ".join(
+        f"n_{x} AS (SELECT rep, {x}, sum(w) AS n FROM rw GROUP BY ALL), q_{x} AS (SELECT rep, {x}, (sum(n) OVER (PARTITION BY rep ORDER BY {x}) - n/2 - sum(n) OVER (PARTITION BY rep)/2)::DOUBLE AS k_{x} FROM n_{x})" for x in columns
+    )
+    return f"{tables}, rk AS (SELECT * FROM rw {' '.join(f'JOIN q_{x} USING (rep, {x})' for x in columns)})"
+
 
+def _corr_sql(a: str, b: str) -> str:
+    return _WCORR.replace("*a", f"*{a}").replace("*b", f"*{b}")
 
-@query("k11_spearman_bootstrap", with_views("signals", f"""WITH {_rep_sql('d_max, max_err, word_count', 'signals')}, pr AS (SELECT rep, w, 'd_error' AS pair, d_max AS x, max_err AS y FROM rw UNION ALL SELECT rep, w, 'words_error', word_count, max_err FROM rw),
-k AS (SELECT pair, rep, w, {_wrank('x', 'pair, rep')} AS a, {_wrank('y', 'pair, rep')} AS b FROM pr), s AS (SELECT pair, rep, {_WCORR} AS rho FROM k GROUP BY ALL),
-lg AS (SELECT pair, rho AS v FROM s UNION ALL SELECT 'difference', max(rho) FILTER (WHERE pair='d_error')-max(rho) FILTER (WHERE pair='words_error') FROM s GROUP BY rep)
-SELECT pair, {_ci('v')} FROM lg GROUP BY pair"""))
+
+@query("k11_spearman_bootstrap", with_views("signals", f"""WITH {_cells_sql({'d': 'd_max', 'e': 'max_err', 'words': 'word_count'}, 'signals')}, {_ranks_sql(('d', 'e', 'words'))},
+s AS (SELECT rep, {_corr_sql('k_d', 'k_e')} AS de, {_corr_sql('k_words', 'k_e')} AS we FROM rk GROUP BY rep),
+lg AS (SELECT rep, 'd_error' AS pair, de AS v FROM s UNION ALL SELECT rep, 'words_error', we FROM s UNION ALL SELECT rep, 'difference', de-we FROM s)
+SELECT pair, {_est('v')} FROM lg GROUP BY pair"""))
 def _k11(spark, sf):
-    s = with_signals(spark, sf).select("item_id", "d_max", "max_err", "word_count")
-    boot = B.spearman_bootstrap(s, {"d_error": (c("d_max"), c("max_err")), "words_error": (c("word_count"), c("max_err"))}, REPS, SEED)
+    s = with_signals(spark, sf).select("item_no", "d_max", "max_err", "word_count")
+    boot = materialise(B.spearman_bootstrap(s, {"d_error": (c("d_max"), c("max_err")), "words_error": (c("word_count"), c("max_err"))}, REPS, SEED), "spearman")
     at = lambda p: F.max(F.when(c("pair") == p, c("spearman")))
     diff = boot.groupBy("rep").agg((at("d_error") - at("words_error")).alias("spearman"))
     rows = boot.unionByName(diff.select(F.lit("difference").alias("pair"), "rep", "spearman"))
-    return rounded(X.intervals(rows, "spearman", ["pair"]))
+    return rounded(B.estimates(rows, "spearman", ["pair"]))
+
+
+_SAMPLES = ("pooled", "model_train", "validation", "official_test")
 
 
-_STATS = ("mean_a", "mean_b", "mean_gap", "mean_ratio", "pearson", "spearman", "median_a", "median_b")
+def _k12_sql() -> str:
+    """Each sample group on its own, as one statement per group."""
+    whole = []
+    for i, g in enumerate(_SAMPLES):
+        src = f"(SELECT * FROM scored{'' if g == 'pooled' else f" WHERE split = '{g}'"})"
+        ctes = f"""{_cells_sql({'a': 'r1_v::DOUBLE', 'b': 'r2_v::DOUBLE'}, src)}, {_ranks_sql(('a', 'b'))},
+        s AS (SELECT rep, {_corr_sql('k_a', 'k_b')} AS rho, sum(w*a)/sum(w) AS ma, sum(w*b)/sum(w) AS mb, {_WCORR} AS r FROM rk GROUP BY rep),
+        md AS (SELECT rep, quantile_cont(a, 0.5) AS da, quantile_cont(b, 0.5) AS db FROM (SELECT rep, a, b, unnest(generate_series(1, w)) FROM rw) GROUP BY rep),
+        lg AS ({' UNION ALL '.join(f"SELECT rep, '{m}' AS metric, {e} AS v FROM s JOIN md USING (rep)" for m, e in zip(B.AGREEMENT, ('ma', 'mb', 'abs(mb-ma)', 'mb/nullif(ma, 0)', 'r', 'rho', 'da', 'db')))})"""
+        whole.append(f"SELECT '{g}' AS sample, * FROM (WITH {ctes} SELECT metric, {_est('v')} FROM lg GROUP BY metric) AS g{i}")
+    return " UNION ALL ".join(whole)
 
 
-@query("k12_agreement_bootstrap", with_views("scored", f"""WITH {_rep_sql('r1_v, r2_v', 'scored')}, d AS (SELECT rep, w, r1_v::DOUBLE AS x, r2_v::DOUBLE AS y FROM rw), k AS (SELECT *, {_wrank('x', 'rep')} AS a, {_wrank('y', 'rep')} AS b FROM d),
-s AS (SELECT rep, {_WCORR} AS spearman, sum(w*x)/sum(w) AS mean_a, sum(w*y)/sum(w) AS mean_b, {_WCORR.replace('*a', '*x').replace('*b', '*y')} AS pearson FROM k GROUP BY rep),
-md AS (SELECT rep, quantile_cont(x, 0.5) AS median_a, quantile_cont(y, 0.5) AS median_b FROM (SELECT rep, x, y, unnest(generate_series(1, w)) FROM d) GROUP BY rep),
-lg AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {e} AS v FROM s JOIN md ON s.rep=md.rep" for m, e in zip(_STATS, ('mean_a', 'mean_b', 'mean_b-mean_a', 'mean_b/mean_a', 'pearson', 'spearman', 'median_a', 'median_b')))})
-SELECT metric, {_ci('v')} FROM lg GROUP BY metric"""))
+@query("k12_agreement_bootstrap", with_views("scored", _k12_sql()))
 def _k12(spark, sf):
-    boot = B.agreement_bootstrap(scored(spark, sf), "r1_v", "r2_v", REPS, SEED)
-    rows = boot.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), c(m).alias("v")) for m in _STATS])))
-    return rounded(X.intervals(rows, "v", ["metric"]))
+    s = scored(spark, sf).select("item_no", "split", "r1_v", "r2_v")
+    parts = []
+    for g in _SAMPLES:
+        boot = B.agreement_bootstrap(s if g == "pooled" else s.where(c("split") == g), "r1_v", "r2_v", REPS, SEED)
+        parts.append(boot.select("rep", F.lit(g).alias("sample"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), c(m).alias("v")) for m in B.AGREEMENT]))))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rounded(B.estimates(rows, "v", ["sample", "metric"]))
 
 
-@query("k13_slope_bootstrap", with_views("scored", f"""WITH d AS (SELECT item_id, for_v-y_v AS y, lin_v-for_v AS x FROM scored), {_rep_sql('x, y', 'd')}, s AS (SELECT rep, (sum(w*x*y)-sum(w*x)*sum(w*y)/sum(w))/nullif(sum(w*x*x)-sum(w*x)*sum(w*x)/sum(w), 0) AS v FROM rw GROUP BY rep) SELECT {_ci('v')} FROM s"""))
+@query("k13_slope_bootstrap", with_views("scored", f"""WITH {_cells_sql({'y': 'for_v-y_v', 'x': 'lin_v-for_v'}, 'scored')},
+s AS (SELECT rep, (sum(w*x*y)-sum(w*x)*sum(w*y)/sum(w))/nullif(sum(w*x*x)-sum(w*x)*sum(w*x)/sum(w), 0) AS v FROM rw GROUP BY rep) SELECT {_est('v')} FROM s"""))
 def _k13(spark, sf):
     boot = B.slope_bootstrap(scored(spark, sf), c("for_v") - c("y_v"), c("lin_v") - c("for_v"), REPS, SEED)
-    return rounded(X.intervals(boot, "slope"))
+    return rounded(B.estimates(boot, "slope"))
 
 
 _ERRS = {"lin_v": "lin_v-y_v", "for_v": "for_v-y_v", "lin_g": "lin_g-y_g", "for_g": "for_g-y_g"}
@@ -219,26 +272,22 @@ _ERRS = {"lin_v": "lin_v-y_v", "for_v": "for_v-y_v", "lin_g": "lin_g-y_g", "for_
 def _k14_sql() -> str:
     names = list(_ERRS)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    d = "d AS (SELECT item_id, " + ", ".join(f"{e} AS e_{n}" for n, e in _ERRS.items()) + " FROM scored)"
-    w = lambda a, b: _WCORR.replace("*a", f"*e_{a}").replace("*b", f"*e_{b}")
-    point = " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, corr(e_{a}, e_{b}) AS r FROM d" for a, b in pairs)
-    boot = " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, rep, {w(a, b)} AS v FROM rw GROUP BY rep" for a, b in pairs)
-    cols = ", ".join(f"e_{n}" for n in names)
-    return f"""WITH {d}, {_rep_sql(cols, 'd')}, pt AS ({point}), bt AS ({boot}), ci AS (SELECT model_a, model_b, {_ci('v')} FROM bt GROUP BY ALL)
-    SELECT pt.model_a, pt.model_b, round(pt.r, 9) AS r, low, high, valid, skipped, pt.r<0.95 AS below_limit FROM pt JOIN ci ON pt.model_a=ci.model_a AND pt.model_b=ci.model_b"""
+    cols = ", ".join(f"{_corr_sql(a, b)} AS p{i}, {_corr_sql('k_' + a, 'k_' + b)} AS s{i}" for i, (a, b) in enumerate(pairs))
+    rows = " UNION ALL ".join(f"SELECT rep, '{a}' AS model_a, '{b}' AS model_b, '{m}' AS method, {m[0]}{i} AS v FROM bt" for i, (a, b) in enumerate(pairs) for m in ("pearson", "spearman"))
+    return f"""WITH {_cells_sql({n: f'({e})' for n, e in _ERRS.items()}, 'scored')}, {_ranks_sql(tuple(names))}, bt AS (SELECT rep, {cols} FROM rk GROUP BY rep), lg AS ({rows}),
+    es AS (SELECT model_a, model_b, method, {_est('v')} FROM lg GROUP BY ALL) SELECT *, estimate<0.95 AS below_limit, high<0.95 AS interval_below_limit FROM es"""
 
 
 @query("k14_error_correlations", with_views("scored", _k14_sql()))
 def _k14(spark, sf):
-    errors = {n: F.expr(e) for n, e in _ERRS.items()}
-    s = scored(spark, sf).select("item_id", *[v.alias(f"_{k}") for k, v in errors.items()])
-    return rounded(B.error_correlations(s, {k: c(f"_{k}") for k in errors}, REPS, SEED))
+    s = scored(spark, sf).select("item_no", *[F.expr(e).alias(f"_{k}") for k, e in _ERRS.items()])
+    return rounded(B.error_correlations(s, {k: c(f"_{k}") for k in _ERRS}, REPS, SEED))
 
 
-@query("k15_intervals", with_views("signals", f"""WITH {_AB}, d AS (SELECT rep, max(auroc) FILTER (WHERE signal='disagreement')-max(auroc) FILTER (WHERE signal='negative_words') AS v FROM au GROUP BY rep) SELECT {_ci('v')} FROM d"""))
+@query("k15_intervals", with_views("signals", f"""WITH {_AB}, d AS (SELECT rep, max(auroc) FILTER (WHERE signal='disagreement')-max(auroc) FILTER (WHERE signal='negative_words') AS v FROM au WHERE rep > 0 GROUP BY rep) SELECT {{ci}} FROM d""".replace("{ci}", "round(avg(v), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, count(v) AS valid, count(*)-count(v) AS skipped")))
 def _k15(spark, sf):
     at = lambda p: F.max(F.when(c("signal") == p, c("auroc")))
-    d = _auroc_draws(spark, sf).groupBy("rep").agg((at("disagreement") - at("negative_words")).alias("v"))
+    d = _auroc_draws(spark, sf).where("rep > 0").groupBy("rep").agg((at("disagreement") - at("negative_words")).alias("v"))
     return rounded(X.intervals(d, "v"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marklens.functions import draws as D
 from marklens.functions import metrics as M
 from marklens.functions import scalars as S
 from marklens.operators import evaluation as E
@@ -361,19 +362,46 @@ def _h24(spark, sf):
     return rounded(G.subgroup_table(s, ["cluster", "segment", "st"]))
 
 
-_DRAWS = "dr AS (SELECT unnest(generate_series(1, {n}))::INT AS draw)"
+_H25_DRAWS, _H25_SEED = 1000, 42
+
+
+def _h25_sql() -> str:
+    """Cell after cell in a recursion: each step draws one (group, label) cell of an attribute from what is left."""
+    choose = lambda a, b: f"(lgamma(({a})+1.0)-lgamma(({b})+1.0)-lgamma(({a})-({b})+1.0))"
+    pmf = f"exp({choose('size', 'x')}+{choose('rest-size', 'open-x')}-{choose('rest', 'open')})"
+    return f"""WITH RECURSIVE s AS (SELECT item_id, cluster, segment, large, row_number() OVER (ORDER BY d_max DESC, item_id) <= ceil(count(*) OVER ()*0.2::DOUBLE) AS sel FROM signals),
+    u AS (SELECT 'cluster' AS attribute, 1 AS number, cluster AS grp, large, sel FROM s UNION ALL SELECT 'segment', 2, segment, large, sel FROM s),
+    per AS (SELECT attribute, number, grp, count(*) AS n, {n_if('large')} AS positives, {n_if('sel')} AS selected, {n_if('large AND sel')} AS caught FROM u GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY grp)-1 AS i, sum(n) OVER (PARTITION BY attribute) AS whole FROM per),
+    cells AS (SELECT number, attribute, i*2+l AS step, CASE WHEN l = 1 THEN positives ELSE n-positives END AS size, whole FROM placed, (SELECT unnest([0, 1]) AS l)),
+    st AS (
+      SELECT DISTINCT number, draw, -1::BIGINT AS step, whole::BIGINT AS rest, ceil(whole*0.2::DOUBLE)::BIGINT AS open, 0::BIGINT AS x FROM cells, (SELECT unnest(generate_series(1, {_H25_DRAWS}))::BIGINT AS draw)
+      UNION ALL
+      SELECT number, draw, step, rest-size, open-x, x FROM (
+        SELECT *, row_number() OVER (PARTITION BY number, draw ORDER BY x DESC) AS place FROM (
+          SELECT *, coalesce(sum(p) OVER (PARTITION BY number, draw ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)/sum(p) OVER (PARTITION BY number, draw) AS before FROM (
+            SELECT number, draw, step, rest, open, size, x, {pmf} AS p, u FROM (
+              SELECT *, unnest(generate_series(
+                greatest(0, open+size-rest, floor(open*size/rest-12*sqrt(open*(size/rest)*(1-size/rest)*(rest-open)/greatest(rest-1, 1))-12))::BIGINT,
+                least(open, size, ceil(open*size/rest+12*sqrt(open*(size/rest)*(1-size/rest)*(rest-open)/greatest(rest-1, 1))+12))::BIGINT)) AS x
+              FROM (SELECT st.number, draw, c.step, rest, open, c.size, {D.uniform_sql('((st.number*1000003+c.step//2)*2+c.step%2)', 'draw', _H25_SEED)} FROM st JOIN cells c ON c.number = st.number AND c.step = st.step+1)
+            )
+          )
+        ) WHERE before <= u
+      ) WHERE place = 1
+    ),
+    means AS (SELECT number, step//2 AS i, sum(x) FILTER (WHERE step%2 = 1)/{_H25_DRAWS} AS hit, sum(x)/{_H25_DRAWS} AS drawn FROM st WHERE step >= 0 GROUP BY ALL),
+    o AS (SELECT *, n >= 20 AS reported FROM placed JOIN means USING (number, i))
+    SELECT attribute, grp, n, positives, reported, {', '.join(f'CASE WHEN reported THEN {e} END AS {k}' for k, e in (
+        ('caught', 'caught'), ('selected', 'selected'), ('capture', 'round(caught/nullif(positives, 0), 9)'), ('selection_rate', 'round(selected/n, 9)'), ('random_mean_caught', 'round(hit, 9)'),
+        ('random_mean_capture', 'round(hit/nullif(positives, 0), 9)'), ('random_mean_selected', 'round(drawn, 9)'), ('random_mean_rate', 'round(drawn/n, 9)'),
+        ('note', "CASE WHEN positives < 10 THEN 'few positives' ELSE 'descriptive' END")))} FROM o"""
 
 
-@query(
-    "h25_subgroup_random_capture",
-    _sql("signals", f"""WITH {_DRAWS.format(n=20)}, k AS (SELECT draw, item_id, cluster, segment, large, row_number() OVER (PARTITION BY draw ORDER BY md5('42:' || draw || ':' || item_id), item_id) AS rn, count(*) OVER (PARTITION BY draw) AS n_all FROM signals, dr),
-    p AS (SELECT draw, 'cluster' AS attribute, cluster AS grp, large, rn<=ceil(n_all*0.2::DOUBLE) AS sel FROM k UNION ALL SELECT draw, 'segment', segment, large, rn<=ceil(n_all*0.2::DOUBLE) FROM k),
-    d AS (SELECT draw, attribute, grp, {n_if('large AND sel')} AS hit, {n_if('large')} AS pos, count(*) AS n FROM p GROUP BY ALL)
-    SELECT attribute, grp, max(n) AS n, max(pos) AS positives, {r('avg(hit/nullif(pos, 0))', 'mean_capture')} FROM d WHERE n>=20 GROUP BY ALL"""),
-)
+@query("h25_subgroup_random_capture", _sql("signals", _h25_sql()))
 def _h25(spark, sf):
-    s = with_signals(spark, sf).select("item_id", "cluster", "segment", "large")
-    return rounded(Q.subgroup_random_capture(s, ["cluster", "segment"], draws=20, budget=0.2, seed=42))
+    s = queue(with_signals(spark, sf).select("item_id", "cluster", "segment", "large", "d_max"), [F.desc("d_max"), "item_id"], 0.2)
+    return rounded(Q.subgroup_random_capture(s, ["cluster", "segment"], draws=_H25_DRAWS, budget=0.2, seed=_H25_SEED))
 
 
 # ---- profiles and distributions -----------------------------------------------------------------

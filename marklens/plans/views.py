@@ -117,10 +117,9 @@ def with_views(names: str, body: str) -> str:
         need(n)
     ctes = ",\n".join(f"{n} AS (\n{CTES[n]})" for n in order)
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
-    if body.upper().startswith("WITH RECURSIVE"):
-        raise ValueError("put recursion in its own statement")
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
     return f"WITH {ctes}\n{body}"
 
 
