@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(app: str = "marklens", cpus: int | str = "*", memory: str = "12g") -> SparkSession:
@@ -27,9 +29,28 @@ def local_session(app: str = "marklens", cpus: int | str = "*", memory: str = "1
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, wherever the driver was started; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    archive = f"{tempfile.mkdtemp(prefix='package-')}/{name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join(name, os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

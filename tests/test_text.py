@@ -191,26 +191,6 @@ def test_models_round_trip_and_feature_check(spark, model_rows):
         L.predict_set(models, model_rows, ["m", "other"])
 
 
-def test_one_target_does_not_move_the_other(model_rows):
-    fits = L.model_set(["a", "b", "c"], {"y": "y", "z": "z"}, {"y": 1.0, "z": 1.0}, {"y": {"numTrees": 3, "maxDepth": 3}, "z": {"numTrees": 3, "maxDepth": 3}})
-    first = L.predict_set(L.fit_set(fits, model_rows), model_rows).toPandas().set_index("item_id")
-    changed = model_rows.withColumn("y", c("y") * 2)
-    second = L.predict_set(L.fit_set(fits, changed), model_rows).toPandas().set_index("item_id").loc[first.index]
-    assert np.allclose(first[["linear_z", "forest_z"]], second[["linear_z", "forest_z"]])
-    assert not np.allclose(first["linear_y"], second["linear_y"])
-
-
-def test_tree_spread_matches_single_trees(model_rows):
-    model = L.forest(["a", "b", "c"], "y", {"numTrees": 5, "maxDepth": 4}, 1, "p", leaves="leaf")(model_rows)
-    out = L.tree_spread(model_rows, model, "leaf", "sd").toPandas()
-    rf = next(s for s in model.stages if hasattr(s, "trees"))
-    filled = model_rows.na.fill(model_rows.toPandas()["a"].median(), ["a"]).toPandas()
-    from pyspark.ml.linalg import Vectors
-
-    each = np.array([[t.predict(Vectors.dense(v)) for t in rf.trees] for v in filled[["a", "b", "c"]].to_numpy()])
-    assert np.allclose(out["sd"], each.std(axis=1)) and np.allclose(out["p"], each.mean(axis=1))
-
-
 def test_ordinal_stays_on_scale(spark):
     rng = np.random.default_rng(0)
     rows = [(float(x), float(1 + 0.5 * k)) for x, k in zip(rng.normal(size=30), rng.integers(0, 9, 30))]
