@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklens.functions.metrics import pearson
-from marklens.operators.order import _join_on, average_ranks, quantiles_of_counts, running_sums
+from marklens.operators.order import average_ranks, quantiles_of_counts, running_sums, value_join
 from marklens.operators.profile import unpivot
+from marklens.session import materialise
 
 # Fixed thresholds of the feature audit.
 NEAR_CONSTANT_SD, NEAR_CONSTANT_SHARE = 1e-8, 0.95
@@ -125,9 +126,9 @@ def stability_verdict(base: DataFrame) -> DataFrame:
 
 def rank_features(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """Average rank of every feature, one wide row per item."""
-    rows = unpivot(df, features, [key])
-    ranks = average_ranks(rows, "value", ["feature"]).select("feature", "value", "avg_rank")
-    ranked = _join_on(rows, ranks, ["feature", "value"])
+    rows = materialise(unpivot(df, features, [key]), "long")
+    ranks = materialise(average_ranks(rows, "value", ["feature"]).select("feature", "value", "avg_rank", "rows"), "ranks")
+    ranked = value_join(rows, ranks, ["feature", "value"], "rows")
     at = [F.max(F.when(F.col("feature") == f, F.col("avg_rank"))).alias(f) for f in features]
     return ranked.groupBy(key).agg(*at)
 

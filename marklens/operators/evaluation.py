@@ -11,6 +11,7 @@ from marklens.functions import metrics as M
 from marklens.functions import scalars as S
 from marklens.operators.order import _join_on, quantiles
 from marklens.schema import SCORE_MAX, SCORE_MIN
+from marklens.session import materialise
 
 # Two-sided 95% quantiles of Student's t for 1..30 degrees of freedom.
 T_975 = (
@@ -139,6 +140,24 @@ def fold_interval(folds: DataFrame, by: Sequence[str], value: str = "mae") -> Da
     return out.select(*by, "folds", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def error_cells(long: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Errors overall, per truth band and per fold of each target and variant, from one reading of the items.
+
+    The cells (target, variant, band, fold) are one small written table; all three tables are sums of it.
+    """
+    y, p = _yp()
+    cells = long.groupBy("target", "variant", S.score_band(y).alias("band"), "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.abs(p - y)).alias("a"), F.sum(p - y).alias("s")
+    )
+    cells = materialise(cells, "cells")
+
+    def per(*by: str) -> DataFrame:
+        mae, bias = F.sum("a") / F.sum("n"), F.sum("s") / F.sum("n")
+        return cells.groupBy("target", "variant", *by).agg(mae.alias("mae"), bias.alias("signed_bias"))
+
+    return per(), per("band"), per("fold")
+
+
 def acceptance(
     overall: DataFrame, bands: DataFrame, folds: DataFrame, baseline: str, max_overall_increase: float = 0.005,
     min_macro_gain: float = 0.10, min_tail_cut: float = 0.20, max_group_increase: float = 0.05, min_folds: int = 4,
@@ -189,7 +208,7 @@ def fold_mean_baseline(long: DataFrame, fold: str = "cv_fold") -> DataFrame:
     means = per.select(
         "target", fold, ((F.sum("_s").over(w) - F.col("_s")) / (F.sum("_n").over(w) - F.col("_n"))).alias("prediction")
     )
-    return long.drop("prediction").join(means, ["target", fold])
+    return long.drop("prediction").join(F.broadcast(means), ["target", fold])  # targets x folds
 
 
 def mean_baseline(long: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:

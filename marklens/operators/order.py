@@ -28,6 +28,28 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+#: A value that holds more than this part of the rows is looked up apart, so at most so many values are.
+HEAVY = 1000
+
+
+def value_join(df: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows to a table with one row per value, null-safe, where few values may hold most of the rows.
+
+    ``count`` of the table tells how many rows have the value.  Values with more than the ``HEAVY``-th part of all rows
+    are fewer than ``HEAVY``, so their part of the table is sent to every task and their rows stay where they are; the
+    other rows are shuffled by value, none of which can fill a task.  ``df`` is read twice and should be a written table.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY > total
+    extra = [c for c in table.columns if c not in keys and c != count]
+    hot = table.where(heavy).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.struct(*extra).alias("_hot"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    marked = df.join(F.broadcast(hot), same, "left").drop(*[f"_r_{k}" for k in keys])
+    near = marked.where(F.col("_hot").isNotNull()).select(*df.columns, *[F.col(f"_hot.{c}").alias(c) for c in extra])
+    far = _join_on(marked.where(F.col("_hot").isNull()).drop("_hot"), table.where(~heavy).drop(count), keys)
+    return near.unionByName(far)
+
+
 #: Offsets (groups x segments) known to be few enough to be sent to every task.
 OFFSET_ROWS = 1_000_000
 
@@ -174,10 +196,10 @@ def average_ranks(
     """Average rank of each distinct value; with ``weight``, ranks under row multiplicities."""
     groups = list(partition or [])
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.groupBy(*groups, value).agg(n.alias("n"))
+    counts = df.groupBy(*groups, value).agg(n.alias("n"), F.count(F.lit(1)).alias("rows"))
     run = running_sums(counts, value, ["n"], groups, segments)
     return run.select(
-        *groups, value, "n", "total_n", (F.col("cum_n") - F.col("n") / 2 + F.lit(0.5)).alias(rank)
+        *groups, value, "n", "rows", "total_n", (F.col("cum_n") - F.col("n") / 2 + F.lit(0.5)).alias(rank)
     )
 
 
@@ -191,9 +213,10 @@ def spearman(
     n = F.sum(weight) if weight else F.count(F.lit(1))
     # written once: both rank tables and the join read the pairs, not the items
     pairs = materialise(df.groupBy(*groups, x, y).agg(n.alias("_w")), "pairs")
-    rx = average_ranks(pairs, x, groups, "_w", "_rx", segments).select(*groups, x, "_rx", "total_n")
-    ry = average_ranks(pairs, y, groups, "_w", "_ry", segments).select(*groups, y, "_ry")
-    ranked = _join_on(_join_on(pairs, rx, [*groups, x]), ry, [*groups, y])
+    rx = materialise(average_ranks(pairs, x, groups, "_w", "_rx", segments).select(*groups, x, "_rx", "total_n", "rows"), "ranks")
+    ry = materialise(average_ranks(pairs, y, groups, "_w", "_ry", segments).select(*groups, y, "_ry", "rows"), "ranks")
+    first = materialise(value_join(pairs, rx, [*groups, x], "rows"), "ranked")
+    ranked = value_join(first, ry, [*groups, y], "rows")
     mid = (F.col("total_n") + 1) / 2
     a, b, w = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")
     out = ranked.groupBy(*groups).agg(

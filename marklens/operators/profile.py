@@ -40,7 +40,7 @@ def column_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def file_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows, columns, rows without any NULL and bytes per source."""
+    """Rows, columns and rows without any NULL per source; bytes and digests of files: ``sources.tables.file_bytes``."""
     parts = []
     for source, df in tables.items():
         complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in df.columns])

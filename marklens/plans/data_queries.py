@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,15 +133,22 @@ def _a9(spark, sf):
     return P.file_inventory({t: table(spark, sf, t) for t in _INV})
 
 
-_DIG = "('0x' || substr(md5(concat_ws('|', 'v' || CAST(doc_id AS VARCHAR), 'v' || text, 'v' || lang)), 1, 8))::BIGINT"
+@query("a9_file_bytes")
+def _a9b(spark, sf):
+    files = [IO.file_bytes(spark, f"{sf}/{t}.parquet").withColumn("source", F.lit(t)) for t in _INV]
+    return reduce(DataFrame.unionByName, files)
 
 
-@query("a10_table_fingerprint", f"SELECT count(*) AS rows, CAST(sum({_DIG}) AS BIGINT) AS digest_sum, bit_xor({_DIG}) AS digest_xor FROM documents")
+_DIG = ["('0x' || substr(md5(concat_ws('|', 'v' || CAST(doc_id AS VARCHAR), 'v' || text, 'v' || lang)), {}, 8))::BIGINT".format(8 * i + 1) for i in range(4)]
+
+
+@query("a10_table_fingerprint", f"SELECT count(*) AS rows, concat_ws(':', {', '.join(f'CAST(sum({d}) AS VARCHAR)' for d in _DIG)}) AS digest_sum, concat({', '.join(f'lpad(lower(to_hex(bit_xor({d}))), 8, chr(48))' for d in _DIG)}) AS digest_xor FROM documents")
 def _a10(spark, sf):
     return IO.table_fingerprint(table(spark, sf, "documents"), ["doc_id", "text", "lang"])
 
 
-@query("a11_ordered_id_digest", with_views("scored", """WITH b AS (SELECT cv_fold, substr(md5(item_id), 1, 2) AS b, sha256(string_agg(item_id, chr(10) ORDER BY item_id)) AS d, count(*) AS n FROM scored WHERE cv_fold IS NOT NULL GROUP BY ALL)
+@query("a11_ordered_id_digest", with_views("scored", """WITH z AS (SELECT greatest(0, ceil(log2(max(n)/1024.0)/4))::BIGINT AS digits FROM (SELECT count(*) AS n FROM scored WHERE cv_fold IS NOT NULL GROUP BY cv_fold)),
+b AS (SELECT cv_fold, substr(md5(item_id), 1, digits) AS b, sha256(string_agg(item_id, chr(10) ORDER BY item_id)) AS d, count(*) AS n FROM scored, z WHERE cv_fold IS NOT NULL GROUP BY ALL)
 SELECT cv_fold, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY cv_fold"""))
 def _a11(spark, sf):
     return IO.ordered_id_digest(scored(spark, sf).where(c("cv_fold").isNotNull()), "item_id", ["cv_fold"])

@@ -218,10 +218,7 @@ def _h16(spark, sf):
         c("cv_fold").alias("fold"),
         F.expr("stack(6, 'V','linear',y_v,lin_v, 'V','forest',y_v,for_v, 'V','blend',y_v,(lin_v+for_v)/2, 'G','linear',y_g,lin_g, 'G','forest',y_g,for_g, 'G','blend',y_g,(lin_g+for_g)/2) AS (target, variant, truth, prediction)"),
     )
-    overall = E.metric_table(long, ["target", "variant"])
-    bands = E.band_table(long, ["target", "variant"])
-    folds = E.metric_table(long, ["target", "variant", "fold"])
-    out = E.acceptance(overall, bands, folds, "linear")
+    out = E.acceptance(*E.error_cells(long), "linear")
     return rounded(out.withColumn("tail_cut", F.round("tail_cut", 7)))
 
 

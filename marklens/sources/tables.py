@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marklens.session import materialise
+
 from marklens.operators.contracts import ContractError
 
 # Fixed names: what partition arguments may be called.
@@ -90,22 +92,48 @@ def row_digest(columns: Sequence[str]):
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-insensitive fingerprint: rows, sum and xor of 32-bit row digests."""
-    h = F.conv(F.substring(row_digest(columns), 1, 8), 16, 10).cast("bigint")
-    return df.select(h.alias("_h")).agg(F.count(F.lit(1)).alias("rows"), F.sum("_h").alias("digest_sum"), F.bit_xor("_h").alias("digest_xor"))
+    """Order-insensitive fingerprint: rows, and the sums and xors of all four 32-bit words of the rows' digests."""
+    words = df.select(row_digest(columns).alias("_h")).select(
+        *[F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"_w{i}") for i in range(4)]
+    )
+    got = words.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(4)], *[F.bit_xor(f"_w{i}").alias(f"_x{i}") for i in range(4)])
+    xor = F.concat(*[F.lower(F.lpad(F.hex(f"_x{i}"), 8, "0")) for i in range(4)])
+    return got.select("rows", F.concat_ws(":", *[F.col(f"_s{i}").cast("string") for i in range(4)]).alias("digest_sum"), xor.alias("digest_xor"))
+
 
+#: Ids, and digests, that one task puts in order at once, on average.
+IDS_PER_BUCKET = 1024
 
-def ordered_id_digest(df: DataFrame, key: str, by: Sequence[str], digits: int = 2) -> DataFrame:
-    """SHA-256 of the sorted ids per group, in two levels.
 
-    A group's ids are cut by the first hex digits of their md5; each bucket digests its own sorted
-    ids and the group digests its buckets in order.  ``digits`` sets how many ids meet in a task.
+def ordered_id_digest(df: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """SHA-256 of the ids of each group as a hash tree.
+
+    A group's ids are cut by the first hex digits of their md5, as many as the largest group needs for buckets of
+    about ``IDS_PER_BUCKET``; a bucket digests its own sorted ids, and buckets of one longer prefix are digested in
+    order, two digits at a time, so no task holds more than a bucket or 256 digests.
     """
-    rows = df.select(*by, F.col(key).cast("string").alias("_id")).withColumn("_b", F.substring(F.md5(F.col("_id").cast("binary")), 1, digits))
-    bucket = rows.groupBy(*by, "_b").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("_id")), "\n").cast("binary"), 256).alias("_d"), F.count(F.lit(1)).alias("_n")
-    )
-    pair = F.array_sort(F.collect_list(F.struct("_b", "_d")))
-    return bucket.groupBy(*by).agg(
-        F.sum("_n").alias("ids"), F.sha2(F.array_join(F.transform(pair, lambda p: p["_d"]), "\n").cast("binary"), 256).alias("digest")
+    rows = materialise(df.select(*by, F.col(key).cast("string").alias("_id")), "ids")
+    most = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = 0
+    while most > IDS_PER_BUCKET * 16**digits:
+        digits += 1
+    level = rows.withColumn("_b", F.substring(F.md5(F.col("_id").cast("binary")), 1, digits)).groupBy(*by, "_b").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("_id")), "\n").cast("binary"), 256).alias("_d"), F.count(F.lit(1)).alias("ids")
     )
+    while True:
+        digits = max(0, digits - 2)
+        pair = F.array_sort(F.collect_list(F.struct("_b", "_d")))
+        level = level.groupBy(*by, F.substring("_b", 1, digits).alias("_p")).agg(
+            F.sum("ids").alias("ids"), F.sha2(F.array_join(F.transform(pair, lambda p: p["_d"]), "\n").cast("binary"), 256).alias("_d")
+        ).withColumnRenamed("_p", "_b")
+        if not digits:
+            return level.select(*by, "ids", F.col("_d").alias("digest"))
+
+
+def file_bytes(spark, path: str) -> DataFrame:
+    """(file, bytes, sha256) of every file below a path; each file is digested by one task, as its digest is sequential.
+
+    Spark's reader leaves out empty files and refuses files beyond 2 GB.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

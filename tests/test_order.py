@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marklens.operators import order as O
+from marklens.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -131,3 +132,35 @@ def test_budget_edges(spark):
     assert [r["k"] for r in n] == [153, 504]
     with pytest.raises(ValueError):
         O.queue(df, ["s"], 1.1)
+
+
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_value_join_and_a_hot_value(spark, limit, monkeypatch):
+    monkeypatch.setattr(O, "HEAVY", limit)
+    n = 3000
+    rows = [(i, 7 if i % 3 == 0 else (None if i % 50 == 1 else i)) for i in range(n)]
+    df = materialise(spark.createDataFrame(rows, "i long, v long"), "rows")
+    table = materialise(df.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.max("i").alias("last")), "table")
+    got = {(r.i, r.v, r.last) for r in O.value_join(df, table, ["v"], "rows").collect()}
+    last = {}
+    for i, v in rows:
+        last[v] = max(last.get(v, -1), i)
+    assert got == {(i, v, last[v]) for i, v in rows}
+
+
+def test_hot_rows_are_not_shuffled_by_value(spark):
+    n = 40_000
+    df = materialise(spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("v")), "rows")
+    table = materialise(df.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.lit(1).alias("x")), "table")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        sizes = O.value_join(df, table, ["v"], "rows").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        plan = O.value_join(df, table, ["v"], "rows")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert sizes.sum() == n and "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    assert sizes.max() <= 3 * sizes.median()  # unshuffled scan parts of the hot rows, even parts of the rest
