@@ -1,24 +1,25 @@
-"""License texts in documents: overlapping windows, looked up by a few shingles, then exact containment; DataFrame functions only.
+"""License texts in documents: MinHash bands of overlapping windows, then exact containment; DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words.  A template of n words belongs to the size
 class C, the power of two from n on; windows of a class have 2 C words and start every C words, so any place of n
-words lies within one.  A window that holds ``SHARE`` of a template's shingles misses only the rest, so it has one of
-any choice of one more than that many: those of fewest templates are the template's keys, and no window is lost by
-asking for them only.  What has a key is verified by the exact share of the template's shingles.
+words lies within one.  A window that holds a template in the sense of ``SHARE`` has at least m = ceil(SHARE s) of its s
+shingles in common with it and 2 C - 4 shingles itself, so their Jaccard similarity is at least m / (2 C - 4 + s - m).
+One row of MinHash meets with that chance; a class gets as many one-row bands as its least similar template needs for
+all of them to miss with less than ``MISS``.  What meets is verified by the exact share of the template's shingles.
 
-A document without a single key of any template can hold none, and is dropped before windows are made.
+A document, and then a window, without a single shingle of any template of the class can hold none and gets no bands.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklens.llm.tables import materialise, texts, where_computed
 
-K, SHARE = 5, 0.8
+K, SHARE, MISS = 5, 0.8, 1e-6
 
 # Names and texts of public license notices.
 TEMPLATES = {
@@ -69,10 +70,16 @@ def _shingles(words: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)]))
 
 
-def _keys(own: list[int], spread: Counter) -> list[int]:
-    """The shingles of fewest templates, one more than a window may miss."""
-    need = next(i for i in range(len(own) + 1) if i / len(own) >= SHARE)
-    return sorted(own, key=lambda h: (spread[h], h))[: len(own) - need + 1]
+def bands_of(size: int, shingles: int) -> int:
+    """One-row bands that a template of so many shingles needs in windows of its class."""
+    least = next(m for m in range(shingles + 1) if m / shingles >= SHARE)
+    similarity = least / (max(2 * size - (K - 1), shingles) + shingles - least)
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity))
+
+
+def _bands(shingles: Column, number: Column) -> Column:
+    """(band, least hash) of the first ``number`` bands."""
+    return F.transform(F.sequence(F.lit(0), number - 1), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))).alias("key")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,22 +98,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         raise ValueError("a template needs at least five words")
     size = lambda n: 1 << (n - 1).bit_length()
     sizes = sorted({size(r["n"]) for r in rows})
-    spread = Counter(h for r in rows for h in r["own"])
-    keys = [(r["license"], size(r["n"]), r["own"], _keys(r["own"], spread)) for r in rows]
-    table = spark.createDataFrame(keys, "license string, size int, own array<bigint>, keys array<bigint>")
-    all_keys = F.array(*[F.lit(h) for h in sorted({h for k in keys for h in k[3]})])
+    bands = {s: max(bands_of(s, len(r["own"])) for r in rows if size(r["n"]) == s) for s in sizes}
+    table = spark.createDataFrame([(r["license"], size(r["n"]), r["own"]) for r in rows], "license string, size int, own array<bigint>")
+    of_class = {s: sorted({h for r in rows if size(r["n"]) == s for h in r["own"]}) for s in sizes}
+    every = F.lit(sorted({h for own in of_class.values() for h in own}))
+    number, wanted = F.lit(None).cast("int"), F.array().cast("array<bigint>")
+    for s in sizes:
+        number, wanted = F.when(F.col("size") == s, F.lit(bands[s])).otherwise(number), F.when(F.col("size") == s, F.lit(of_class[s])).otherwise(wanted)
 
     hashed = texts(docs, id_col, text_col).withColumn("words", _words(F.col("text"))).select("doc_id", _shingles(F.col("words")).alias("h"))
-    some = materialise(where_computed(hashed, F.arrays_overlap("h", all_keys)), "license-shingles")
+    some = materialise(where_computed(hashed, F.arrays_overlap("h", every)), "license-shingles")
     windows = some.select("doc_id", "h", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
     # Windows are cut before they become rows, so that no row carries its whole document.
     starts = F.sequence(F.lit(0), F.size("h") - 1, F.col("size"))
     cut = F.transform(starts, lambda i: F.struct(i.alias("first_word"), F.array_distinct(F.slice("h", i + 1, 2 * F.col("size") - (K - 1))).alias("near")))
     windows = windows.select("doc_id", "size", F.explode(cut).alias("w")).select("doc_id", "size", "w.first_word", "w.near")
-    windows = where_computed(windows, F.arrays_overlap("near", all_keys))
-    marked = windows.withColumn("key", F.explode(F.array_intersect("near", all_keys)))
-    marks = table.select("license", "size", "own", F.explode("keys").alias("key"))
-    met = marked.join(F.broadcast(marks), ["size", "key"]).select(
+    windows = where_computed(windows, F.arrays_overlap("near", wanted))
+    marked = windows.select("doc_id", "size", "first_word", "near", F.explode(_bands(F.col("near"), number)).alias("b")).select("doc_id", "size", "first_word", "near", "b.band", "b.key")
+    marks = table.select("license", "size", "own", F.explode(_bands(F.col("own"), number)).alias("b")).select("license", "size", "own", "b.band", "b.key")
+    met = marked.join(F.broadcast(marks), ["size", "band", "key"]).select(
         "doc_id", "license", "first_word", (F.size(F.array_intersect("near", "own")) / F.size("own")).alias("share")
     )
     return met.where(F.col("share") >= SHARE).groupBy("doc_id", "license").agg(F.max("share").alias("share"), F.min("first_word").cast("long").alias("first_word"))
