@@ -1,12 +1,17 @@
 """Mixture-controlled packing of tokenized documents into full windows.
 
-Every source is a queue of its documents.  In each round of a deficit round-robin a queue earns its share of
-a window in tokens, sends packets while its earnings cover them and carries the rest over.  Earnings depend
-only on a queue's total, so the round of a packet that ends at token ``e`` of a queue of ``t`` tokens is
-``ceil(e * rounds / t)``: deficits pass across windows and tasks by arithmetic, and no task holds a queue.
-
-Packets in order of (round, source, place in the queue) form one stream that is cut at every window.  The last,
-incomplete window is cut into powers of two, which need no padding.
+Every source is a queue of its documents.  In each round of a deficit round-robin, one round per window, a queue earns
+its target share of the window in tokens, sends what it has earned and carries the fraction over.  As documents may be
+cut anywhere, a queue sends exactly the whole part of its earnings: after round r it has sent ``floor(earned by r)``
+tokens.  Earnings are a closed form, so deficits pass across windows and tasks by arithmetic and no task holds a queue:
+with targets w and queues of t tokens, all queues have sent ``T(v) = sum of min(t, w v)`` at virtual time v, and round r
+ends where T reaches r windows.  By default the targets are the queues' own sizes, and every queue lasts to the end;
+with other targets a queue that runs out leaves its share to the others.
+
+A queue that never earns ``LEAST`` tokens a round saves for several rounds, so that pieces do not become splinters; a
+window is then off its target by at most that much.  What is sent, in order of (round, source, place in the queue),
+forms one stream that is cut at every window.  The last, incomplete window is cut into powers of two, which need no
+padding.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from marklens.llm import bytetext as bt
 from marklens.llm.tables import materialise, small_batches
 
 WINDOW = 4096
-#: Most tokens that a queue sends at once; a window's share of a source is off by about one packet at most.
-PACKET = 512
+#: Fewest tokens that a queue sends at once, unless it ends.
+LEAST = 32
 #: Rounds whose packets one task puts in order.
 ROUNDS = 1024
 _GROUP = 4096
@@ -84,17 +89,51 @@ def _tail(total: int, window: int) -> list[int]:
     return out
 
 
+def _earned(total: int, window: int, targets: dict[str, float] | None, sizes: dict[str, int]):
+    """Columns of the round that a place in a queue falls into, roughly, and of what a queue has sent after a round."""
+    t = F.col("queue_tokens").cast("double")
+    if targets is None:
+        time_of = lambda x: x / F.lit(float(total))
+        sent_at = lambda v: v * F.lit(float(total))
+        weight = t
+    else:
+        ends = sorted((sizes[s] / targets[s], targets[s], s) for s in sizes)  # where queues run out
+        live = sum(w for _, w, _ in ends)
+        times, sent, speeds, largest = [0.0], [0.0], [live], {}
+        for v, w, s in ends:
+            largest[s] = w / live  # a queue's share only grows while others run out
+            sent.append(sent[-1] + (v - times[-1]) * speeds[-1])
+            times.append(v)
+            live -= w
+            speeds.append(max(live, 1e-300))
+        at = lambda xs, x: F.greatest(F.size(F.filter(F.lit(xs), lambda y: y <= x)) - 1, F.lit(0))
+        pick = lambda xs, k: F.get(F.lit(xs), k)
+        knots = times[:-1], sent[:-1], speeds[:-1]
+        time_of = lambda x: pick(knots[0], at(knots[1], x)) + (x - pick(knots[1], at(knots[1], x))) / pick(knots[2], at(knots[1], x))
+        sent_at = lambda v: pick(knots[1], at(knots[0], v)) + (v - pick(knots[0], at(knots[0], v))) * pick(knots[2], at(knots[0], v))
+        weight, top = F.lit(0.0), F.lit(1.0)
+        for s, w in targets.items():
+            weight, top = F.when(F.col("source") == s, F.lit(float(w))).otherwise(weight), F.when(F.col("source") == s, F.lit(largest[s])).otherwise(top)
+    rounds = max(1, -(-total // window))
+    near_round = lambda e: F.floor(sent_at(e.cast("double") / weight) / window).cast("long")
+    after = lambda r: F.when(r >= rounds, F.col("queue_tokens")).when(r <= 0, F.lit(0).cast("long")).otherwise(
+        F.least(F.floor(weight * time_of(r.cast("double") * window)).cast("long"), F.col("queue_tokens")))
+    share = t / total if targets is None else top
+    every = F.greatest(F.ceil(F.lit(float(LEAST)) / (share * window)), F.lit(1)).cast("long")
+    return near_round, after, every, rounds
+
+
 def pack(
-    docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, packet: int = PACKET,
+    docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, targets: dict[str | None, float] | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Pieces of documents with their places in sequences.
 
     Columns: ``doc_id, source, start, length, doc_tokens, sequence_id, offset, sequence_length, ids``; ``ids`` holds
     little-endian unsigned 32-bit ids.  Each id lies in exactly one piece; a sequence has ``window`` tokens, and only
-    those at the end of the stream have fewer, a power of two.  A null or empty text is ``end_id`` alone; a null
-    source is a source of its own; repeated rows and ids are packed as often as they occur; other columns are ignored;
-    no rows give no pieces.
+    those at the end of the stream have fewer, a power of two.  ``targets`` maps every source to a positive weight;
+    by default a source weighs what it holds.  A null or empty text is ``end_id`` alone; a null source is a source of
+    its own; repeated rows and ids are packed as often as they occur; other columns are ignored; no rows give no pieces.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -109,12 +148,29 @@ def pack(
     sent = materialise(sent, "queues")
     rows = tokens.select("part", "row", "source", "doc_tokens", "queue_start").join(sent, ["source", "part"])
     rows = rows.withColumn("queue_start", F.col("queue_start") + F.col("_before"))
-    packets = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(packet).cast("long"))))
-    packets = packets.withColumn("length", F.least(F.lit(packet), F.col("doc_tokens") - F.col("start")).cast("long"))
-    ends = (F.col("queue_start") + F.col("start") + F.col("length")).cast("decimal(19,0)")
-    rounds = max(1, -(-total // window))
-    turn = F.ceil(ends * F.lit(rounds).cast("decimal(18,0)") / F.col("queue_tokens").cast("decimal(19,0)")).cast("long")
-    packets = packets.withColumn("turn", turn).withColumn("block", F.floor(F.col("turn") / ROUNDS))
+    wanted, sizes = None, {}
+    if targets is not None:
+        wanted = {"\0none" if k is None else k: float(w) for k, w in targets.items()}
+        sizes = {r["source"]: r["n"] for r in sent.groupBy("source").agg(F.max("queue_tokens").alias("n")).collect()}  # as many as targets
+        if sizes.keys() - wanted.keys() or any(w <= 0 for w in wanted.values()):
+            raise ValueError("every source needs a positive target")
+        wanted = {k: w for k, w in wanted.items() if k in sizes}
+    near_round, after, every, rounds = _earned(total, window, wanted, sizes)
+    first, last = F.col("queue_start"), F.col("queue_start") + F.col("doc_tokens")
+    # queues that save send in different rounds, and half of it in advance, so that what is saved evens out
+    steps = rows.withColumn("_e", every).withColumn("_phase", F.pmod(F.xxhash64("source"), F.col("_e")))
+    steps = steps.withColumn("_shift", F.floor((F.col("_e") - 1) / 2))
+    sends = lambda k: k * F.col("_e") + F.col("_phase")
+    back = F.col("_phase") + F.col("_shift")
+    # the sendings that may hold a part of the document; empty parts fall out below
+    span = F.sequence(F.greatest(F.floor((near_round(first) - 1 - back) / F.col("_e")), F.lit(0)), F.greatest(F.ceil((near_round(last) + 2 - back) / F.col("_e")) + 1, F.lit(0)))
+    steps = steps.withColumn("_k", F.explode(span))
+    sent_by = lambda k: after(sends(k) + F.col("_shift"))
+    low, high = F.greatest(first, F.when(F.col("_k") == 0, F.lit(0).cast("long")).otherwise(sent_by(F.col("_k") - 1))), F.least(last, sent_by(F.col("_k")))
+    packets = steps.withColumns({"_low": low, "_high": high}).where(F.col("_low") < F.col("_high")).select(
+        "part", "row", "source", "queue_start", (F.col("_low") - F.col("queue_start")).alias("start"), (F.col("_high") - F.col("_low")).alias("length"),
+        F.least(sends(F.col("_k")), F.lit(rounds)).alias("turn"),
+    ).withColumn("block", F.floor(F.col("turn") / ROUNDS))
     packets = materialise(packets.select("part", "row", "source", "queue_start", "start", "length", "turn", "block"), "packets")
     blocks = _before(packets.groupBy("block").agg(F.sum("length").alias("_n")), "block", "_n", "_at")
     order = Window.partitionBy("block").orderBy("turn", "source", F.col("queue_start") + F.col("start")).rowsBetween(Window.unboundedPreceding, -1)
