@@ -59,6 +59,24 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def length_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Words, sentences and words per sentence straight from the texts: arrays per document, no token rows, no shuffle.
+
+    Texts without a token give no row, as in the token table.
+    """
+    def counts(sentence: Column) -> Column:
+        pieces = F.regexp_extract_all(sentence, F.lit(X.TOKEN_PATTERN), F.lit(0))
+        return F.struct(F.size(pieces).alias("tokens"), F.size(F.filter(pieces, lambda t: X.is_alpha(F.rtrim(t)))).alias("words"))
+
+    per = docs.select(key, F.transform(X.sentences(clean_text(F.col(text))), counts).alias("_c"))
+    words = F.aggregate("_c", F.lit(0), lambda a, c: a + c["words"]).cast("double")
+    sentences = F.size(F.filter("_c", lambda c: c["tokens"] > 0))
+    row = F.struct(words.alias("word_count"), sentences.cast("double").alias("sentence_count"))
+    # a generator instead of a filter, which Spark would push below the arrays and so compute twice
+    some = per.select(key, F.inline(F.when(sentences > 0, F.array(row))))
+    return some.withColumn("mean_sentence_length", F.col("word_count") / F.col("sentence_count"))
+
+
 def sentence_sums(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """Additive counts per sentence: words, letters, content words, nouns, clauses, distances."""
     alpha, pos = F.col("is_alpha"), F.col("pos")

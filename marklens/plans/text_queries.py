@@ -51,7 +51,7 @@ _LEN = f"count(*) FILTER (WHERE is_alpha)::DOUBLE AS word_count, count(DISTINCT
 
 @query("d3_length_features", with_text("tk", f"SELECT doc_id, {_LEN} FROM tk GROUP BY doc_id"))
 def _d3(spark, sf):
-    return rounded(_base(spark, sf).select("doc_id", "word_count", "sentence_count", "mean_sentence_length"))
+    return rounded(T.length_features(_docs(spark, sf)))
 
 
 def _side(lst: str) -> str:
