@@ -37,10 +37,19 @@ def parallel(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until no column has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def where_computed(df: DataFrame, condition) -> DataFrame:
     """``df.where(condition)`` above the projection that computes what the condition reads.
 
     Spark pushes a filter through a projection by copying expressions into it, also into the bodies of lambdas, where
     they would run once per element.  It does not push one through a projection of row numbers.
     """
-    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+    row = fresh(df, "_row")
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)

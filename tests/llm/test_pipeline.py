@@ -57,3 +57,31 @@ def test_against_brute_force(spark, sf, stages, monkeypatch):
 def test_run_gives_the_last_stage(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf).agg(F.sum("length"), F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     assert (got[0], got[2]) == (sum(r.length for r in stages[4]), len({r.doc_id for r in stages[4]}))
+
+
+def test_odd_inputs(spark, sf):
+    """Nulls, repeated rows, empty tables and columns with the stages' own names."""
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    text = real.where("length(text) > 800").first().text
+    odd = [(None, None, None, None, None), (7001, "", "en", "s", 0), (7002, None, "en", None, None), (None, text, "en", "s", 1), (7003, text, "en", "s", 1), (7003, text, "en", "s", 1), (7004, text, "en", "s", 1)]
+    own = ("_row", "_verdict", "part", "row", "verdict", "component_id", "found", "key")
+    docs = real.union(spark.createDataFrame(odd, real.schema)).select("*", *[F.lit(k).alias(n) for k, n in enumerate(own)])
+    given = docs.count()
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r[n] == k for r in rows for k, n in enumerate(own))
+        left[name] = [(r.doc_id, r.text) for r in rows]
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert not [1 for _, t in left["quality rules"] if not t]
+    near = [i for i, t in left["n-gram jaccard join"] if t == text]
+    known = [r.doc_id for r in real.where(F.col("text") == text).collect()]
+    assert near.count(None) == 1 and near.count(7003) in (0, 2) and 7004 not in near and min(known) in near
+    assert len(left["n-gram jaccard join"]) < given
+    assert [k for k, t in left["benchmark decontamination"] if not t].count(7001) == 1
+    assert len(left["secret scans"]) == given
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, sf)
+    assert packed.groupBy("doc_id").count().where("doc_id is null").count() == 1
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), sf).count() == 0
