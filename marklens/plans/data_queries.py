@@ -147,9 +147,10 @@ def _a10(spark, sf):
     return IO.table_fingerprint(table(spark, sf, "documents"), ["doc_id", "text", "lang"])
 
 
-@query("a11_ordered_id_digest", with_views("scored", """WITH z AS (SELECT greatest(0, ceil(log2(max(n)/1024.0)/4))::BIGINT AS digits FROM (SELECT count(*) AS n FROM scored WHERE cv_fold IS NOT NULL GROUP BY cv_fold)),
-b AS (SELECT cv_fold, substr(md5(item_id), 1, digits) AS b, sha256(string_agg(item_id, chr(10) ORDER BY item_id)) AS d, count(*) AS n FROM scored, z WHERE cv_fold IS NOT NULL GROUP BY ALL)
-SELECT cv_fold, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY cv_fold"""))
+@query("a11_ordered_id_digest", with_views("scored", """WITH RECURSIVE z AS (SELECT greatest(0, ceil(log2(max(n)/1024.0)/4))::BIGINT AS digits FROM (SELECT count(*) AS n FROM scored WHERE cv_fold IS NOT NULL GROUP BY cv_fold)),
+b AS (SELECT cv_fold, substr(md5(item_id), 1, digits) AS b, sha256(string_agg(item_id, chr(10) ORDER BY item_id)) AS d, count(*)::BIGINT AS n, digits, greatest(1, (digits+1)//2) AS steps FROM scored, z WHERE cv_fold IS NOT NULL GROUP BY ALL),
+t AS (SELECT * FROM b UNION ALL SELECT cv_fold, substr(b, 1, greatest(0, digits-2)), sha256(string_agg(d, chr(10) ORDER BY b)), sum(n)::BIGINT, greatest(0, digits-2), steps-1 FROM t WHERE steps > 0 GROUP BY cv_fold, substr(b, 1, greatest(0, digits-2)), digits, steps)
+SELECT cv_fold, n AS ids, d AS digest FROM t WHERE steps = 0"""))
 def _a11(spark, sf):
     return IO.ordered_id_digest(scored(spark, sf).where(c("cv_fold").isNotNull()), "item_id", ["cv_fold"])
 

@@ -3,9 +3,12 @@
 import hashlib
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from marklens.operators import duplicates as U
+from marklens.plans import registry
+from marklens.plans import catalogue  # noqa: F401  (registers every query)
 from marklens.sources import tables as IO
 
 
@@ -71,3 +74,16 @@ def test_frequent_term_is_never_a_key_by_itself(spark, monkeypatch):
     dot = lambda a, b: round(sum(w * each[b].get(t, 0.0) for t, w in each[a].items()), 9)
     want = {(a, b) for a in each for b in each if a < b and dot(a, b) >= 0.3}
     assert got == want and len(want) > 100
+
+
+def test_digest_twin_of_three_levels(spark, sf, monkeypatch):
+    """Buckets of one id on average need two digits or more, so the twin has to climb the tree as the query does."""
+    con = duckdb.connect()
+    for t in ("orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf.replace('0.001', '0.01')}/{t}.parquet')")
+    monkeypatch.setattr(IO, "IDS_PER_BUCKET", 4)
+    sql = registry.TWINS["a11_ordered_id_digest"]
+    assert "1024.0" in sql
+    want = sorted(con.execute(sql.replace("1024.0", "4.0")).fetchall())
+    got = registry.QUERIES["a11_ordered_id_digest"](spark, sf.replace("0.001", "0.01"))
+    assert sorted(tuple(r) for r in got.select("cv_fold", "ids", "digest").collect()) == want
