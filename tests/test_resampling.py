@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -201,3 +202,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "item_no long, large boolean, a double, b double")
     assert B.auroc_bootstrap(df, {"a": F.col("a")}, 3, 1).collect() == []
     assert B.spearman_bootstrap(df, {"p": (F.col("a"), F.col("b"))}, 3, 1).where("spearman is not null").collect() == []
+
+
+@pytest.mark.parametrize("over", [0, 300, 40_000])
+def test_pooled_tail_sql_at_large_counts(over):
+    """Folds of 900,000 items: the twin keeps its digits, and its row where nothing as extreme is likely."""
+    from marklens.plans.chance_queries import _conv
+
+    folds = [(900_000, 290_000 + 1000 * f, 180_000, 58_000 + 200 * f + over // 5) for f in range(5)]
+    rows = ", ".join(f"({i}, {n}::BIGINT, {pos}::BIGINT, {k}::BIGINT, {x}::BIGINT)" for i, (n, pos, k, x) in enumerate(folds))
+    sql = f"WITH fc AS (SELECT * FROM (VALUES {rows}) t(cv_fold, n, positives, k, caught)), {_conv()}, o AS (SELECT sum(caught) AS caught FROM fc) SELECT coalesce(sum(p), 0) FROM o LEFT JOIN c4 ON x >= caught"
+    start, law = X.pooled_law([f[:3] for f in folds])
+    want = law[max(sum(f[3] for f in folds) - start, 0) :].sum()
+    assert abs(duckdb.sql(sql).fetchall()[0][0] - want) < 1e-10
+    assert want == 0 if over == 40_000 else want > 1e-3
