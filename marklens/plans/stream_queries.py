@@ -13,7 +13,7 @@ from marklens.plans.text_queries import _MTLD, _mattr
 from marklens.plans.text_views import with_text
 from marklens.plans.sqltext import r, rounded
 from marklens.plans.views import table, texts
-from marklens.session import scratch_dir
+from marklens.session import scratch_dir, small_batches
 from marklens.streaming import jobs as N
 
 c = F.col
@@ -25,15 +25,18 @@ def _arrivals(spark, sf, repeat: bool):
     docs = table(spark, sf, "documents").select(
         "doc_id", "text", F.timestamp_seconds(c("doc_id") % 86400 + F.lit(1_700_000_000)).alias("arrived"), "lang"
     )
-    docs.drop("lang").repartition(4, "doc_id").write.mode("append").parquet(base)
+    files = max(4, docs.rdd.getNumPartitions())  # as many as the table has splits, so no task grows with it
+    docs.drop("lang").repartition(files, "doc_id").write.mode("append").parquet(base)
     if repeat:
-        docs.where("lang = 'de'").drop("lang").coalesce(1).write.mode("append").parquet(base)
-    return base
+        docs.where("lang = 'de'").drop("lang").write.mode("append").parquet(base)
+    return base, files // 2
 
 
-def _run(spark, path, start):
+def _run(spark, arrivals, start):
+    path, files = arrivals
+    small_batches(spark)
     out, mark = f"{path}-out", f"{path}-checkpoint"
-    start(N.read_arrivals(spark, path, 2), out, mark).awaitTermination()
+    start(N.read_arrivals(spark, path, files), out, mark).awaitTermination()
     return N.read_features(spark, out)
 
 
@@ -45,14 +48,14 @@ FROM tk JOIN d ON d.doc_id=tk.doc_id JOIN ml ON ml.doc_id=tk.doc_id LEFT JOIN ma
 
 @query("n1_feature_stream", _SQL)
 def _n1(spark, sf):
-    path = _arrivals(spark, sf, False)
-    return rounded(_run(spark, path, N.feature_stream).withColumn("mtld", F.round("mtld", 7)))
+    arrivals = _arrivals(spark, sf, False)
+    return rounded(_run(spark, arrivals, N.feature_stream).withColumn("mtld", F.round("mtld", 7)))
 
 
 @query("n2_duplicate_arrivals", _SQL)
 def _n2(spark, sf):
-    path = _arrivals(spark, sf, True)
-    return rounded(_run(spark, path, N.deduplicated_feature_stream).withColumn("mtld", F.round("mtld", 7)))
+    arrivals = _arrivals(spark, sf, True)
+    return rounded(_run(spark, arrivals, N.deduplicated_feature_stream).withColumn("mtld", F.round("mtld", 7)))
 
 
 @query("n3_exploded_tokens", with_text("tk", "SELECT doc_id, sent_id, sent_pos, tok_i, text, is_alpha FROM tk"))
