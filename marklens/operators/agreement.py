@@ -129,6 +129,20 @@ def label_set_relation(a: Column, b: Column) -> Column:
     return F.when(same, "same").when(F.arrays_overlap(a, b), "partial").otherwise("different")
 
 
+def list_edit_counts(lists: DataFrame) -> DataFrame:
+    """As ``edit_counts``, from one row per document with its lists of edits and sentences; nothing is shuffled."""
+    from marklens.functions.scalars import is_grammar_edit
+
+    grammar = F.filter("edits", lambda e: is_grammar_edit(e["edit_type"]))
+    types = F.array_sort(F.array_distinct("edits.edit_type"))
+    per_type = F.transform(types, lambda t: F.struct(t.alias("edit_type"), F.size(F.filter("edits", lambda e: e["edit_type"] == t)).cast("bigint").alias("n")))
+    sentences, hit = F.size("sentences").cast("bigint"), F.size(F.array_distinct(F.transform(grammar, lambda e: e["sent_id"])))
+    return lists.select(
+        "doc_id", sentences.alias("sentences"), (1 - hit / sentences).alias("clean_sentence_share"), F.size("edits").cast("bigint").alias("edits_all"),
+        F.size(grammar).cast("bigint").alias("edits_grammar"), F.map_from_entries(per_type).alias("per_type"),
+    )
+
+
 def edit_counts(edits: DataFrame, sentences: DataFrame) -> DataFrame:
     """Edits per document: all, grammar only, per type, and the share of sentences free of grammar edits.
 
