@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from marklens.functions import scalars as S
 from marklens.functions import text as X
 from marklens.operators import agreement as A
 from marklens.operators import features as T
@@ -82,3 +83,12 @@ def test_arrivals_have_a_file_per_split(spark, sf, monkeypatch):
     monkeypatch.setattr(Q, "table", lambda spark, sf, name: spark.read.parquet(f"{sf}/{name}.parquet").repartition(9))
     base, _ = Q._arrivals(spark, sf, True)
     assert spark.read.parquet(base).select(F.input_file_name()).distinct().count() > 9
+
+
+def test_squeeze_takes_every_run(spark):
+    spaces = [" ", "  ", "\t", "\n ", " \u00a0", "\u2003", "\u3000\u3000", "\x0b", "\x85", "\u2028 "]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(spaces) + rng.choice(["a", "\u00e9b", ""]) for _ in range(9)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select(S.squeeze(F.col("text")).alias("got"), F.btrim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("want")).collect()
+    assert all(r["got"] == r["want"] == " ".join(texts[i].split()) for i, r in enumerate(got))
