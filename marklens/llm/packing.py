@@ -25,13 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklens.llm import bytetext as bt
-from marklens.llm.tables import materialise, small_batches
+from marklens.llm.tables import materialise, parallel, small_batches
 
 WINDOW = 4096
 #: Fewest tokens that a queue sends at once, unless it ends.
 LEAST = 32
+#: Bytes of text that are tokenized at once; a worker keeps several times as much.
+PIECE = 1 << 17
 #: Rounds whose packets one task puts in order.
 ROUNDS = 1024
+#: Tokens that one task cuts and writes; its file is whole in memory before it is written.
+TASK_TOKENS = 4_000_000
 _GROUP = 4096
 
 _TOKENS = "part int, row long, doc_id long, source string, doc_tokens long, queue_start long, ids binary"
@@ -46,7 +50,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
         enc, part, row, sums = Subwords.of(vocabulary), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             data, bounds = bt.raw(batch.column(1))
-            for i, j in bt.pieces(bounds):
+            for i, j in bt.pieces(bounds, PIECE):
                 ids, cut = enc.ids(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 source = batch.column(2).slice(i, j - i).to_pylist()
                 size, at = np.diff(cut) + 1, []
@@ -193,14 +197,20 @@ def pack(
         "part", "row", (F.col("start") + opens - F.col("_from")).alias("start"), (closes - opens).alias("length"), "sequence_id",
         (opens - start_of(F.col("sequence_id"))).alias("offset"), (start_of(F.col("sequence_id") + 1) - start_of(F.col("sequence_id"))).alias("sequence_length"),
     )
-    cuts = pieces.groupBy("part", "row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "sequence_length")).alias("cuts"))
-    joined = tokens.join(cuts, ["part", "row"]).select("doc_id", "source", "doc_tokens", "ids", "cuts")
+    # the ids are stored packed, so the size of a shuffle does not tell what a task writes
+    tasks = max(parallel(docs.sparkSession), -(-total // TASK_TOKENS))
+    cuts = pieces.repartition(tasks, "part", "row").groupBy("part", "row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "sequence_length")).alias("cuts"))
+    joined = tokens.repartition(tasks, "part", "row").join(cuts.hint("shuffle_hash"), ["part", "row"]).select("doc_id", "source", "doc_tokens", "ids", "cuts")
     return joined.mapInArrow(
         _cut, "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
     ).withColumn("source", F.nullif("source", F.lit("\0none")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from marklens.llm.subwords import Subwords
+
+    pa.default_memory_pool().release_unused()
+    Subwords.close()  # workers are used again, and from here on nothing is tokenized
     for batch in batches:
         step = 256  # documents whose pieces are built at once
         for lo in range(0, batch.num_rows, step):

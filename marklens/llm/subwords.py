@@ -7,6 +7,7 @@ the word's 64-bit hash; an entry that is displaced is encoded again, so its size
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -35,6 +36,14 @@ class Subwords:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @classmethod
+    def close(cls) -> None:
+        """Free the tables of this worker and give the memory back; the next use builds them again."""
+        cls._open.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed
+        if trim:
+            trim(0)
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marklens.llm import bytetext as bt
+from marklens.llm import bytetext as bt, packing
 from marklens.llm.packing import pack
 from marklens.llm.subwords import Subwords
 
@@ -125,3 +125,14 @@ def test_targets_name_every_source(spark):
         with pytest.raises(ValueError):
             pack(df, PATH, targets=bad)
     assert pack(df, PATH, targets={"x": 1.0, None: 2.0, "unused": 5.0}).agg(F.sum("length")).first()[0] == 5
+
+
+def test_tasks_follow_the_tokens_and_keep_no_tokenizer(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(50)), f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string")
+    monkeypatch.setattr(packing, "TASK_TOKENS", 500)
+    out = pack(docs, PATH)
+    total = out.agg(F.sum("length")).first()[0]
+    assert out.select(F.spark_partition_id()).distinct().count() >= total // 500 // 2
+    Subwords.of(PATH)
+    list(packing._cut(iter([])))
+    assert not Subwords._open
