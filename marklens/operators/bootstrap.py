@@ -9,8 +9,9 @@ and a lost task draws the same again.  No row per item and replicate is shuffled
   segment leaves its weights and its own area per replicate, and the segments are joined up by their order
   (``replicate_auroc``); a score that many cells share may be cut over segments;
 * ranks on two sides at once are taken by tasks that each hold the cells and a block of replicates, as long as a count
-  shows that the cells are few; beyond that, rows per replicate are ranked by range sorts (``spearman_bootstrap``,
-  ``agreement_bootstrap``).
+  shows that the cells are few.  Beyond that the cells are dealt: columns of few values are ranked by the weights of their
+  values, one pass for the ranks and one for the products (``spearman_bootstrap``); else rows per replicate are ranked by
+  range sorts (``spearman_bootstrap``, ``agreement_bootstrap``).
 
 Replicate 0 is the sample itself and gives the estimates.
 """
@@ -33,6 +34,9 @@ from marklens.session import materialise
 BLOCK = 1 << 21
 #: Cells that every task may hold.
 CELLS = 1_000_000
+#: Ranks, values by replicates, that every task may hold, and replicates whose ranks one task takes.
+RANKS = 1 << 23
+RANKED = 128
 
 
 def uniform(seed: int | str, *parts: str | Column) -> Column:
@@ -50,8 +54,8 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for n in names for f in df.schema.fields if f.name == n)
 
 
-def _weighted(pdf: pd.DataFrame, reps: int, seed: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    step = max(1, BLOCK // (reps + 1))
+def _weighted(pdf: pd.DataFrame, reps: int, seed: int, block: int = BLOCK) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    step = max(1, block // (reps + 1))
     for i in range(0, len(pdf), step):
         part = pdf.iloc[i : i + step]
         yield part, poisson_weights(part["key"].to_numpy(), part["m"].to_numpy(), np.arange(reps + 1), seed)
@@ -304,8 +308,67 @@ def replicate_statistics(
     return blocks.mapInPandas(run, "rep int, " + ", ".join(f"{n} double" for n in names))
 
 
+def _few_values(cells: DataFrame, columns: Sequence[str], limit: int) -> list[np.ndarray] | None:
+    """Distinct values of the columns, rising, a missing one last; none if they are more than ``limit`` in all."""
+    packed = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(F.col(c), F.lit(float("nan"))).alias("v")) for i, c in enumerate(columns)])
+    found = cells.select(F.inline(packed)).distinct().limit(limit + 1).toPandas()
+    if len(found) > limit:
+        return None
+    return [np.sort(found.loc[found["i"] == i, "v"].to_numpy()) for i in range(len(columns))]
+
+
+def _spearman_by_values(cells: DataFrame, columns: Sequence[str], values: list[np.ndarray], spots: Sequence[tuple[int, int]], reps: int, seed: int) -> DataFrame:
+    """(rep, r0...) of pairs of columns of few values, however many the cells: weights of the values meet and are ranked,
+    then every task draws its cells again and adds up the products of their ranks."""
+    spark, small = cells.sparkSession, BLOCK >> 3
+    dealt = spread(cells, "key").sortWithinPartitions("m")
+    starts = range(0, reps + 1, RANKED)
+
+    def coded(part: pd.DataFrame) -> list[np.ndarray]:
+        return [np.searchsorted(v, part[c].to_numpy(dtype=float)) for c, v in zip(columns, values)]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros((len(v), reps + 1)) for v in values]
+        for pdf in batches:
+            for part, w in _weighted(pdf, reps, seed, small):
+                for out, code in zip(total, coded(part)):
+                    for j, k in enumerate(code.tolist()):  # whole rows of replicates
+                        out[k] += w[j]
+        for i, out in enumerate(total):
+            for start in starts:
+                yield pd.DataFrame({"i": [i], "start": [start], "sums": [out[:, start : start + RANKED].tobytes()]})
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, start = int(pdf["i"].iloc[0]), int(pdf["start"].iloc[0])
+        n = sum(np.frombuffer(b) for b in pdf["sums"]).reshape(len(values[i]), -1)
+        ranks = np.cumsum(n, 0) - n / 2 - n.sum(0) / 2
+        return pd.DataFrame({"i": [i], "start": [start], "ranks": [ranks.tobytes()], "squares": [(n * ranks * ranks).sum(0).tolist()]})
+
+    sums = dealt.mapInPandas(add, "i int, start int, sums binary")
+    got = materialise(sums.groupBy("i", "start").applyInPandas(rank, "i int, start int, ranks binary, squares array<double>"), "ranks").orderBy("i", "start").toPandas()
+    sides = [got[got["i"] == i] for i in range(len(columns))]
+    shared = spark.sparkContext.broadcast([np.hstack([np.frombuffer(b).reshape(len(v), -1) for b in side["ranks"]]) for v, side in zip(values, sides)] if len(got) else [])
+    names = [f"p{i}" for i in range(len(spots))]
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(spots), reps + 1))
+        for pdf in batches:
+            for part, w in _weighted(pdf, reps, seed, small):
+                held = [ranks[code] for ranks, code in zip(shared.value, coded(part))]
+                for out, (a, b) in zip(total, spots):
+                    out += np.einsum("ij,ij,ij->j", w, held[a], held[b])
+        yield pd.DataFrame(total.T, columns=names).assign(rep=np.arange(reps + 1, dtype=np.int32))[["rep", *names]]
+
+    products = dealt.mapInPandas(multiply, "rep int, " + ", ".join(f"{n} double" for n in names)).groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+    squares = pd.DataFrame({f"q{i}": np.concatenate([np.asarray(s) for s in side["squares"]]) if len(side) else [] for i, side in enumerate(sides)})
+    known = spark.createDataFrame(squares.assign(rep=np.arange(len(squares), dtype=np.int32)), "".join(f"q{i} double, " for i in range(len(columns))) + "rep int")
+    q = lambda i: F.col(f"q{i}")
+    rho = [F.when((q(a) > 1e-12) & (q(b) > 1e-12), F.col(n) / F.sqrt(q(a) * q(b))).alias(f"r{k}") for k, (n, (a, b)) in enumerate(zip(names, spots))]
+    return products.join(F.broadcast(known), "rep").select("rep", *rho)  # one row per replicate
+
+
 def spearman_bootstrap(
-    df: DataFrame, pairs: Mapping[str, tuple[Column, Column]], reps: int, seed: int, key: str = "item_no", limit: int = CELLS
+    df: DataFrame, pairs: Mapping[str, tuple[Column, Column]], reps: int, seed: int, key: str = "item_no", limit: int = CELLS, ranks: int = RANKS
 ) -> DataFrame:
     """(pair, rep, spearman) of several pairs under the same draws; undefined replicates are NULL."""
     sides = {str(s): s for p in pairs.values() for s in p}
@@ -313,8 +376,11 @@ def spearman_bootstrap(
     found = cells(df, {number[s]: c.cast("double") for s, c in sides.items()}, key)
     places = [(number[str(a)], number[str(b)]) for a, b in pairs.values()]
     columns = list(number.values())
-    if found.count() <= limit:
-        spots = [(columns.index(a), columns.index(b)) for a, b in places]
+    spots = [(columns.index(a), columns.index(b)) for a, b in places]
+    few, values = found.count() <= limit, None
+    if not few:
+        values = _few_values(found, columns, ranks // (reps + 1))
+    if few:
 
         def prepare(values):
             codes = [np.unique(v, return_inverse=True) for v in values]
@@ -326,6 +392,9 @@ def spearman_bootstrap(
             return statistic
 
         wide = replicate_statistics(found, columns, [f"r{i}" for i in range(len(pairs))], prepare, reps, seed)
+    elif values:
+        wide = _spearman_by_values(found, columns, values, spots, reps, seed)
+    if few or values:
         packed = F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"r{i}").alias("spearman")) for i, n in enumerate(pairs)])
         out = wide.select("rep", F.inline(packed)).select("pair", "rep", "spearman")
     else:

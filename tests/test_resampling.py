@@ -153,6 +153,29 @@ def test_spearman_both_ways(spark, items, limit):
         assert r.spearman == pytest.approx(_spearman(cells.score, cells.other, w[:, r.rep]), abs=1e-9)
 
 
+@pytest.mark.parametrize("ranks", [0, B.RANKS])
+def test_spearman_of_many_cells(spark, items, ranks, monkeypatch):
+    """Beyond the limit of cells, columns of few values write no row per cell and replicate; a missing value stays the largest."""
+    df = items.assign(other=items.other.where(items.other > 5))
+    pairs = {"x": (F.col("score"), F.col("other")), "y": (F.col("item_no") % 50, F.col("other"))}
+    data = spark.createDataFrame(df).withColumn("other", F.nanvl("other", F.lit(None).cast("double"))) if ranks else spark.createDataFrame(items)
+    want = B.spearman_bootstrap(data, pairs, 150, 8).toPandas().set_index(["pair", "rep"]).spearman
+    if ranks:
+        monkeypatch.setattr(B, "replicate", None)
+    got = B.spearman_bootstrap(data, pairs, 150, 8, limit=10, ranks=ranks).toPandas().set_index(["pair", "rep"]).spearman
+    assert len(got) == 302 and np.allclose(got.sort_index(), want.sort_index(), atol=1e-9)
+
+
+@pytest.mark.parametrize("mean", [1, 2, 64, 65, 400])
+def test_counts_by_table_are_those_of_the_law(mean):
+    key, reps = np.arange(300), np.arange(1, 200)
+    lo, before = D.poisson_law(mean)
+    want = lo + np.searchsorted(before, D.uniform(key[:, None], reps[None, :], 9).ravel(), "right") - 1
+    assert (D.poisson_weights(key, np.full(300, mean), reps, 9).ravel() == want).all()
+    if mean == 1:
+        assert (D.poisson_ones(D.key_part(key, 9), 5) == D.poisson_weights(key, np.ones(300, int), np.array([5]), 9)[:, 0]).all()
+
+
 @pytest.mark.parametrize("limit", [10, 10_000])
 def test_agreement_both_ways(spark, items, limit):
     cells, w = _weights(items, 5, 8, ["score", "other"])
