@@ -164,3 +164,12 @@ def test_hot_rows_are_not_shuffled_by_value(spark):
             spark.conf.set(k, v)
     assert sizes.sum() == n and "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
     assert sizes.max() <= 3 * sizes.median()  # unshuffled scan parts of the hot rows, even parts of the rest
+
+
+def test_lookup_beyond_the_limit_is_not_broadcast(spark):
+    """The copies of a table of few bytes are many rows; sent to every task they would first meet in the driver."""
+    table = materialise(spark.range(2000).withColumnRenamed("id", "g"), "few-bytes").withColumn("z", F.col("g") * 2)
+    rows = spark.range(5000).withColumnRenamed("id", "g")
+    out = O.lookup(rows, table, "g", "g", limit=100)
+    assert out.agg(F.count("z"), F.count(F.lit(1))).first() == (2000, 5000)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
