@@ -124,3 +124,28 @@ def test_every_label_counts(spark):
     finally:
         quality._best_cut = plain
     assert seen == [(n // 2, n // 2)]
+
+
+@pytest.mark.parametrize("blocks", [1 << 12, 1])
+def test_marks(spark, monkeypatch, blocks):
+    """Bits and looked up labels agree; neither shuffles texts nor sends a row per label while ids lie close."""
+    from marklens.llm import quality
+
+    monkeypatch.setattr(quality, "BLOCKS", blocks)
+    said = [(i, int(i % 3 == 0), int(i % 5 == 0)) for i in [*range(-70, 9000, 2), 1 << 40, (1 << 63) - 1, -(1 << 63)]]
+    ids = [None, *range(-80, 9100), 1 << 40, (1 << 40) + 1, (1 << 63) - 1, -(1 << 63)]
+    rows = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    out = quality.with_marks(rows, spark.createDataFrame(said, "doc_id long, a int, b int"), ["a", "b"])
+    want = {i: (a, b) for i, a, b in said}
+    assert {r.doc_id: (r.a, r.b) for r in out.collect()} == {i: want.get(i, (0, 0)) for i in ids}
+
+
+def test_labels_are_no_rows_of_a_broadcast(spark):
+    """The table that meets the texts has a row per 4,096 ids, so it does not grow the driver with the corpus."""
+    from marklens.llm import quality
+
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    out = quality.with_marks(ids.withColumn("text", F.lit("x")), ids.withColumn("trusted", F.lit(1)), ["trusted"])
+    assert out.agg(F.sum("trusted")).first()[0] == 20_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 1 and "_block" in plan
