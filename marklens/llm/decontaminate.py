@@ -254,7 +254,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None
     """What the tasks need to search, one per block of benchmark items."""
     frequency, total = statistics(docs)
     idf = weights(frequency, total)
-    rows = benchmark.where("item_id is not null").select("item_id", "text", F.col(answer_col) if answer_col else F.lit(None).cast("string").alias("answer"))
+    rows = benchmark.select("item_id", "text", F.col(answer_col) if answer_col else F.lit(None).cast("string").alias("answer"))
     out, block = [], []
     for r in rows.orderBy("item_id").toLocalIterator():
         words = _words_of(r[1])
@@ -274,7 +274,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     ``cosine`` is that of the item with its own words near the place (1 for an item of common words only); ``common`` and ``answer`` are the shares of the item's and its answer's words that follow in order near the place.
     Null and empty texts hold nothing, and items without words are in nothing; repeated rows are reported as often as
-    they occur; null ids are reported with null ids; other columns are ignored; an empty table on either side gives no rows.
+    they occur; null ids on either side are reported with null ids; other columns are ignored; an empty table on either side gives no rows.
     """
     rows = texts(docs, id_col, text_col)
     out = None
@@ -299,7 +299,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", answer_col: str | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found; each row is judged by its own text."""
+    """The rows of ``docs``, all columns, in which no benchmark item is found, with an id or without; each row is judged by its own text."""
     for index in indexes(texts(docs, id_col, text_col), benchmark, answer_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         place = docs.columns.index(text_col)

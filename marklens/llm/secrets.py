@@ -32,7 +32,9 @@ CHECKED = ("git_token", "package_token", "web_token", "private_key")
 _GIT = re.compile(rb"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 _PACKAGE = re.compile(rb"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 _WEB = re.compile(rb"eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+")
-_PRIVATE = re.compile(rb"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----\s*([0-9A-Za-z+/=\s]+?)-----END \1-----")
+_PRIVATE = re.compile(rb"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*)*)([0-9A-Za-z+/=\s]+?)-----END \1-----")
+_ENCRYPTED = re.compile(rb"^DEK-Info: *[A-Z0-9]+-[A-Z0-9-]+, *([0-9A-Fa-f]+)\s*$", re.MULTILINE)
+_OPENSSH = b"openssh-key-v1\0"
 KINDS = BASE + CHECKED
 
 
@@ -65,11 +67,21 @@ def _web(m: re.Match) -> bool:
 
 
 def _private(m: re.Match) -> bool:
-    """The body decodes to one DER sequence of just its stated length."""
+    """The body decodes to one DER sequence of just its stated length, to an OpenSSH key whose lengths fill it, or, below
+    a header that names cipher and start vector, to whole blocks of that vector's size or at least of eight bytes."""
     try:
-        der = base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)
+        body = base64.b64decode(re.sub(rb"\s", b"", m[3]), validate=True)
     except (ValueError, binascii.Error):
         return False
+    if body.startswith(_OPENSSH):
+        return _fields_fill(body[len(_OPENSSH) :])
+    sealed = _ENCRYPTED.search(m[2])
+    if sealed:
+        return len(body) > 0 and len(body) % min(max(len(sealed[1]) // 2, 1), 8) == 0
+    return _der(body)
+
+
+def _der(der: bytes) -> bool:
     if len(der) < 2 or der[0] != 0x30:
         return False
     if der[1] < 128:
@@ -78,6 +90,21 @@ def _private(m: re.Match) -> bool:
     return len(der) > 2 + n and len(der) == 2 + n + int.from_bytes(der[2 : 2 + n], "big")
 
 
+def _fields_fill(rest: bytes) -> bool:
+    """Cipher, key derivation and its options, the number of keys, so many public keys and the private part, and no more."""
+    at, left = 0, 3
+    keys = None
+    while left:
+        if at + 4 > len(rest):
+            return False
+        at += 4 + int.from_bytes(rest[at : at + 4], "big")
+        left -= 1
+        if not left and keys is None:
+            keys = int.from_bytes(rest[at : at + 4], "big")
+            at, left = at + 4, keys + 1
+    return at == len(rest) and keys > 0
+
+
 #: keyword, lower-cased -> kind, pattern anchored at it, check of a match.
 _RULES: list[tuple[str, str, re.Pattern, Callable[[re.Match], bool]]] = [
     *((k, "assign", _ASSIGN, _assign) for k in ("password", "passwd", "secret", "token", "apikey", "api_key")),

@@ -110,3 +110,12 @@ def test_items_of_common_words(spark, tables):
     own = spark.createDataFrame([(1, f"before it {text} and after"), (2, text.replace("delta", "delta x"))], "doc_id long, text string")
     assert {x.doc_id for x in matches(common.union(own), bench).collect()} == {1}
     assert 1 in {x.doc_id for x in matches(common.limit(3).union(own), bench).collect()}
+
+
+def test_items_without_id_count(spark):
+    """A passage is a leak whether or not its item has an id."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    assert [r.doc_id for r in clean(docs, bench).collect()] == [2]
+    assert [(r.doc_id, r.item_id) for r in matches(docs, bench).collect()] == [(1, None)]

@@ -75,3 +75,26 @@ def test_redaction(spark):
     assert out[1].text == "é [assign] end" and out[1].n_chars == len(out[1].text)
     assert (out[2].text, out[2].n_chars, out[3].text, out[3].n_chars) == (None, 0, "clean", 5)
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.scan(df.limit(0)).count() == 0
+
+
+def ssh(keys=1, cut=0):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    body = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + keys.to_bytes(4, "big") + field(bytes(51)) * keys + field(bytes(136))
+    text = base64.encodebytes(body[: len(body) - cut]).decode()
+    return f"-----BEGIN OPENSSH PRIVATE KEY-----\n{text}-----END OPENSSH PRIVATE KEY-----"
+
+
+def sealed(size=64, head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"):
+    return f"-----BEGIN RSA PRIVATE KEY-----\n{head}{base64.encodebytes(bytes(range(size))).decode()}-----END RSA PRIVATE KEY-----"
+
+
+def test_keys_with_headers_and_of_openssh(spark):
+    """Private keys that are no plain DER block are found and redacted; broken ones are not keys."""
+    plain = DER.replace("-----\n", "-----\nComment: mine\n", 1)
+    whole = [ssh(), ssh(2), sealed(), sealed().replace("\n", "\r\n"), plain]
+    broken = [ssh(cut=3), sealed(63), sealed(head=""), ssh().replace("PRIVATE KEY-----", "PUBLIC KEY-----")]
+    docs = spark.createDataFrame([(i, f"ü {t} end", 0) for i, t in enumerate(whole + broken)], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "private_key"] for r in secrets.scan(docs).collect()}
+    assert found == {i: [(2, 2 + len(t))] if i < len(whole) else [] for i, t in enumerate(whole + broken)}
+    left = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [left[i] for i in range(len(whole))] == ["ü [private_key] end"] * len(whole)
