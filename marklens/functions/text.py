@@ -197,18 +197,6 @@ def tree_depth(index: pd.Series, heads: pd.Series, alpha: pd.Series) -> pd.Serie
     return pd.Series(out, dtype="int32")
 
 
-@F.pandas_udf(T.DoubleType())
-def sparse_dot(terms_a: pd.Series, w_a: pd.Series, terms_b: pd.Series, w_b: pd.Series) -> pd.Series:
-    """Dot product of two sparse vectors given as ascending term numbers with aligned weights."""
-    out = []
-    for ta, wa, tb, wb in zip(terms_a, w_a, terms_b, w_b):
-        at = np.searchsorted(tb, ta)
-        at[at == len(tb)] = 0
-        hit = tb[at] == ta
-        out.append(float(np.dot(wa[hit], wb[at[hit]])))
-    return pd.Series(out, dtype=float)
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def prefix_rests(weights: pd.Series, threshold: pd.Series) -> pd.Series:
     """Length of what follows each leading term, up to the term after which it is below the threshold."""
